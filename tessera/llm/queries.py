@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import chat
-from tessera.llm._session import table
+from tessera.llm import chat, quality
+from tessera.llm._session import cut, table
 
 PROBE = "\\### Assistant: </turn> ok"
 
@@ -41,8 +42,17 @@ FROM steps GROUP BY conv_id
 """
 
 
+KEEP_FROM = 0.3
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(quality.vectors(table(spark, sf_dir, "documents")))
+    model = quality.fit(rows, table(spark, sf_dir, "labels"))
+    return quality.score(rows, model).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat_format": op1_chat_format}
+    return {"op1_chat_format": op1_chat_format, "op8_quality": op8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
