@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, quality
+from tessera.llm import chat, pii, quality
 from tessera.llm._session import cut, table
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -51,8 +51,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(rows, model).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat_format": op1_chat_format, "op8_quality": op8_quality}
+    return {"op1_chat_format": op1_chat_format, "op8_quality": op8_quality, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:
