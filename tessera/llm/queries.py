@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, pii, quality
+from tessera.llm import chat, packing, pii, quality, tokens
 from tessera.llm._session import cut, table
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -55,8 +55,27 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+TOKEN_LIMIT = 1024
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tokens.count(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return rows.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat_format": op1_chat_format, "op8_quality": op8_quality, "op9_pii": op9_pii}
+    found = (op1_chat_format, op6_token_counts, op8_quality, op9_pii, op10_packing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
