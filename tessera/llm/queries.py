@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, packing, pii, quality, tokens
+from tessera.llm import chat, decontaminate, neardup, packing, pii, quality, tokens
 from tessera.llm._session import cut, table
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -59,6 +59,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.cluster(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -78,7 +82,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_format, op2_decontamination, op6_token_counts, op8_quality, op9_pii, op10_packing)
+    found = (op1_chat_format, op2_decontamination, op5_neardup, op6_token_counts, op8_quality, op9_pii, op10_packing)
     return {f.__name__: f for f in found}
 
 
