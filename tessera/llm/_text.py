@@ -144,3 +144,16 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)
+
+
+def utf8_like(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and the n+1 offsets of a binary column without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, off, data = column.buffers()
+    offsets = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, neardup, packing, pii, quality, substring, tokens
+from tessera.llm import chat, decontaminate, neardup, packing, pii, quality, substring, suffixdedup, tokens
 from tessera.llm._session import cut, table
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -67,6 +67,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.remove(table(spark, sf_dir, "documents")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(suffixdedup.remove(table(spark, sf_dir, "documents")))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -86,7 +90,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_format, op2_decontamination, op5_neardup, op6_token_counts, op7_substring_dedup, op8_quality, op9_pii, op10_packing)
+    found = (op1_chat_format, op2_decontamination, op3_suffix_dedup, op5_neardup, op6_token_counts, op7_substring_dedup, op8_quality, op9_pii, op10_packing)
     return {f.__name__: f for f in found}
 
 
