@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, neardup, packing, pii, quality, substring, suffixdedup, tokens
+from tessera.llm import bitsliced, chat, decontaminate, neardup, packing, pii, quality, substring, suffixdedup, tokens
 from tessera.llm._session import cut, table
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -71,6 +71,29 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digest(suffixdedup.remove(table(spark, sf_dir, "documents")))
 
 
+TOP, QUERY_STEP = 20, 20
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = bitsliced.quantised(table(spark, sf_dir, "embeddings"))
+    return bitsliced.top_k(vectors, vectors.where(F.col("vec_id") % QUERY_STEP == 0), TOP)
+
+
+OP4_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS items
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.items, c.items), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -90,9 +113,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_format, op2_decontamination, op3_suffix_dedup, op5_neardup, op6_token_counts, op7_substring_dedup, op8_quality, op9_pii, op10_packing)
+    found = (op1_chat_format, op2_decontamination, op3_suffix_dedup, op4_topk_search, op5_neardup, op6_token_counts, op7_substring_dedup, op8_quality, op9_pii, op10_packing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": OP1_SQL, "op4_topk_search": OP4_SQL}
