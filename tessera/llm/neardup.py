@@ -16,8 +16,8 @@ with the bucket's leader on full sets, and links are merged into components.
 Buckets that then are one component are done.  Elsewhere, members outside the
 leader's component are compared with each member inside that the triangle
 inequality of the Jaccard distance allows, given both distances to the leader;
-those outside then form the bucket of the next round (in buckets of at most
-SMALL members, they are compared with each other at once).  A pair left out is
+those outside then form the bucket of the next round (where they are at most
+SMALL, they are compared with each other at once).  A pair left out is
 either in one component already or proven too far.
 
 Hot groups: equal copies collapse by partial aggregation; leaders with very many
@@ -43,8 +43,8 @@ from tessera.llm._session import cut
 from tessera.llm.components import connected
 
 SHINGLE, PERCENT = 5, 75
-#: In buckets of at most so many members, what the leader leaves apart is compared in one round.
-SMALL = 32
+#: Where a leader leaves at most so many members of its bucket apart, they are compared with each other in one round.
+SMALL = 512
 #: Keys in each of the two collections, and minhashes in each key.
 M, WIDTH = 10, 2
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -145,32 +145,32 @@ _FAR = 1 - PERCENT / 100
 _SIZES = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
 
 
-def links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(a, b) links whose components are those of all pairs that share a table and are similar enough."""
-    known = found = None
+def linked(members: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(vertex, component) of all representatives with a link: the components of all pairs that share a table and are similar enough."""
+    known = found = component = None
     bucket = members
     while True:
         lead = bucket.groupBy("table_key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-        bucket = cut(bucket.join(lead, "table_key").select("table_key", "size", "rep", "n", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("ln")))
+        bucket = cut(bucket.join(lead, "table_key").select("table_key", "rep", "n", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("ln")))
         if bucket.isEmpty():
-            return found
+            return component
         pairs = bucket.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.col("ln").alias("na"), F.col("n").alias("nb")).distinct()
-        known, found, component = _measured(pairs, sets, known, found)
+        known, found, component = _measured(pairs, sets, known, found, component)
         # only buckets that hold two components go on
         placed = _placed(bucket, component)
-        mixed = placed.groupBy("table_key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("table_key")
-        placed = cut(placed.join(mixed, "table_key", "left_semi"))
+        mixed = placed.groupBy("table_key").agg(F.count_if(F.expr("c <> cl")).alias("outside")).where("outside > 0")
+        placed = cut(placed.join(mixed, "table_key"))
         if placed.isEmpty():
-            return found
+            return component
         rows = _distanced(placed, known)
-        pairs = rows.alias("x").join(rows.alias("y"), "table_key").where("x.rep < y.rep and x.c <> y.c").where((F.col("x.size") <= SMALL) | F.expr("(x.c = x.cl) <> (y.c = y.cl)"))
+        pairs = rows.alias("x").join(rows.alias("y"), "table_key").where("x.rep < y.rep and x.c <> y.c").where((F.col("x.outside") <= SMALL) | F.expr("(x.c = x.cl) <> (y.c = y.cl)"))
         pairs = pairs.where((F.col("x.low") <= F.col("y.high") + _FAR) & (F.col("y.low") <= F.col("x.high") + _FAR))
         pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).where(_SIZES).distinct()
-        known, found, component = _measured(pairs, sets, known, found)
-        bucket = placed.where((F.col("size") > SMALL) & (F.col("c") != F.col("cl"))).select("table_key", "rep", "n")
+        known, found, component = _measured(pairs, sets, known, found, component)
+        bucket = placed.where((F.col("outside") > SMALL) & (F.col("c") != F.col("cl"))).select("table_key", "rep", "n")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, known: DataFrame | None, found: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _measured(pairs: DataFrame, sets: DataFrame, known: DataFrame | None, found: DataFrame | None, component: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verifies the pairs that are new: all measured pairs, all links, and the links' components.
 
     Pairs of too unlike sizes can't be links and are not fetched; their common is null.
@@ -182,8 +182,10 @@ def _measured(pairs: DataFrame, sets: DataFrame, known: DataFrame | None, found:
         new = cut(verify(pairs.where(_SIZES), sets).unionByName(pairs.where(f"not ({_SIZES})").withColumn("common", F.lit(None).cast("long"))))
         good = new.where("common is not null").where(_linked()).select("a", "b")
         known = new if known is None else known.unionByName(new)
-        found = good if found is None else found.unionByName(good)
-    return known, found, cut(connected(found))
+        if component is None or not good.isEmpty():
+            found = good if found is None else found.unionByName(good)
+            component = cut(connected(found))
+    return known, found, component
 
 
 def _placed(bucket: DataFrame, component: DataFrame) -> DataFrame:
@@ -191,7 +193,7 @@ def _placed(bucket: DataFrame, component: DataFrame) -> DataFrame:
     one = component.select(F.col("vertex").alias("rep"), F.col("component").alias("c1"))
     two = component.select(F.col("vertex").alias("leader"), F.col("component").alias("c2"))
     rows = bucket.join(one, "rep", "left").join(two, "leader", "left")
-    return rows.select("table_key", "size", "rep", "n", "leader", "ln", F.coalesce("c1", "rep").alias("c"), F.coalesce("c2", "leader").alias("cl"))
+    return rows.select("table_key", "rep", "n", "leader", "ln", F.coalesce("c1", "rep").alias("c"), F.coalesce("c2", "leader").alias("cl"))
 
 
 def _distanced(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -202,7 +204,7 @@ def _distanced(rows: DataFrame, known: DataFrame) -> DataFrame:
     least = 1 - F.least("n", "ln") / F.greatest("n", "ln")
     own = F.col("rep") == F.col("leader")
     low, high = F.when(own, 0.0).otherwise(F.coalesce(exact, least)), F.when(own, 0.0).otherwise(F.coalesce(exact, F.lit(1.0)))
-    return rows.select("table_key", "size", "rep", "n", "c", "cl", low.alias("low"), high.alias("high"))
+    return rows.select("table_key", "outside", "rep", "n", "c", "cl", low.alias("low"), high.alias("high"))
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
@@ -222,11 +224,11 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     # rows of one id and several texts are told apart by the digest
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     sets = cut(full_sets(chosen).dropDuplicates(["id", "items"]))
-    found = links(members, sets)
-    if found is None:
+    linked_to = linked(members, sets)
+    if linked_to is None:
         component = classes.select("d1", "d2", "n", F.col("rep").alias("component_id"))
     else:
-        component = classes.join(connected(found).withColumnRenamed("vertex", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
+        component = classes.join(linked_to.withColumnRenamed("vertex", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = rows.drop("keys").join(component, ["d1", "d2", "n"], "left")
     whose = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), whose.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -94,6 +94,9 @@ WHERE rank <= 20
 """
 
 
+PACKING_TOKENIZER, END_ID = "word_bpe_49k.json", 2
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -109,7 +112,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER), END_ID)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
