@@ -7,7 +7,8 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Column names that may hold the input structure or text, in the order they are tried.
@@ -91,10 +92,13 @@ def union_by_name(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-@F.udf("string")
-def fixed6(x: float | None) -> str | None:
+def fixed6(x: Column | str) -> Column:
     """Six decimals by the binary value, as C's printf; the JVM rounds the decimal text instead."""
-    return None if x is None else f"{x:.6f}"
+    @F.pandas_udf("string")
+    def render(v: pd.Series) -> pd.Series:
+        return v.map(lambda d: None if pd.isna(d) else f"{d:.6f}")
+
+    return render(x)
 
 
 def write_scores(scores: DataFrame, path: str, floats: list[str], one_file: bool = False) -> None:
