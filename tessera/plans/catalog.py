@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.features import NumericFeatures
 from tessera.functions import scalar as S
-from tessera.operators import graph, membership, metrics, patterns, sampling, scoring, similarity, trees, validation
+from tessera.operators import metrics, sampling, scoring, validation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -208,7 +208,7 @@ def hist(spark, d):
     return metrics.histogram(scored(spark, d), ["lang"])
 
 
-@query(f"SELECT lang, CASE WHEN max(pos) > 0 AND max(neg) > 0 THEN sum(p * (neg - fp + n / 2)) / (max(pos) * max(neg)) ELSE 0 END AS auc FROM {_CURVE} AS c GROUP BY lang".replace("neg - fp + n / 2", "neg - fp + n / 2"), "auc")
+@query(f"SELECT lang, CASE WHEN max(pos) > 0 AND max(neg) > 0 THEN sum(p * (neg - fp + n / 2)) / (max(pos) * max(neg)) ELSE 0 END AS auc FROM {_CURVE} AS c GROUP BY lang", "auc")
 def roc_auc_by_group(spark, d):
     return metrics.roc_auc(hist(spark, d), ["lang"])
 
@@ -325,7 +325,6 @@ def grid_objective(spark, d):
 
 # -- sampling -----------------------------------------------------------------------------------------------
 
-_HEX = "sha256(source)"
 _FRACTION = "CAST(CAST(concat('0x', substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16)) AS UBIGINT) AS DOUBLE) / 18446744073709551616e0"
 
 

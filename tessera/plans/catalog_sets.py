@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.features import TextFeatures
-from tessera.functions import scalar as S
-from tessera.operators import graph, membership, metrics, patterns, sampling, similarity, trees, validation
+from tessera.operators import graph, membership, patterns, similarity, trees, validation
 from tessera.plans.catalog import PART_SQL, SCORED, part, query, scored, t
 from tessera.sources import tables
 
@@ -338,7 +337,7 @@ def component_ablation(spark, d):
     return validation.ablation(rows, ["lang"], ["score", "second"], "positive").select("lang", "component", "auc")
 
 
-@query("SELECT p_type, sum(x) AS n FROM (SELECT p_type, 1 AS x FROM part WHERE p_size < 10 UNION ALL SELECT p_type, 1 FROM part WHERE p_size > 40) AS q GROUP BY 1".replace("sum(x)", "count(x)"))
+@query("SELECT p_type, count(x) AS n FROM (SELECT p_type, 1 AS x FROM part WHERE p_size < 10 UNION ALL SELECT p_type, 1 FROM part WHERE p_size > 40) AS q GROUP BY 1")
 def union_of_sources(spark, d):
     rows = t(spark, d, "part")
     return tables.union_by_name([rows.where("p_size < 10").select("p_type", "p_size"), rows.where("p_size > 40").select("p_type", "p_brand")]).groupBy("p_type").agg(F.count("*").alias("n"))
