@@ -14,11 +14,12 @@ before pairs are formed, by counting alone.
 Verification without all pairs: in each table bucket every member is compared
 with the bucket's leader on full sets, and links are merged into components.
 Buckets that then are one component are done.  Elsewhere, members outside the
-leader's component are compared with each member inside that the triangle
-inequality of the Jaccard distance allows, given both distances to the leader;
-those outside then form the bucket of the next round (where they are at most
-SMALL, they are compared with each other at once).  A pair left out is
-either in one component already or proven too far.
+leader's component first meet a few other members of it, chosen by hash, which
+settles groups of near copies.  What buckets still hold several components is
+finished exactly: of their members, all pairs of different components that share
+one of the rarest items of both sets (the prefix filter for this similarity, which
+loses no pair) are compared.  Documents that only share a frequent passage don't
+meet there, however many they are.
 
 Hot groups: equal copies collapse by partial aggregation; leaders with very many
 members meet only in joins that are split when skewed; no bucket is gathered.
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as T
@@ -43,8 +45,8 @@ from tessera.llm._session import cut
 from tessera.llm.components import connected
 
 SHINGLE, PERCENT = 5, 75
-#: Where a leader leaves at most so many members of its bucket apart, they are compared with each other in one round.
-SMALL = 512
+#: Outsiders of a bucket meet another member of the leader's component in so many of their buckets, so many times.
+MEETINGS, TURNS = 4, 1
 #: Keys in each of the two collections, and minhashes in each key.
 M, WIDTH = 10, 2
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -141,33 +143,61 @@ def _linked() -> F.Column:
     return 100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))
 
 
-_FAR = 1 - PERCENT / 100
 _SIZES = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
 
 
 def linked(members: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(vertex, component) of all representatives with a link: the components of all pairs that share a table and are similar enough."""
-    known = found = component = None
-    bucket = members
-    while True:
-        lead = bucket.groupBy("table_key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-        bucket = cut(bucket.join(lead, "table_key").select("table_key", "rep", "n", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("ln")))
-        if bucket.isEmpty():
-            return component
-        pairs = bucket.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.col("ln").alias("na"), F.col("n").alias("nb")).distinct()
-        known, found, component = _measured(pairs, sets, known, found, component)
-        # only buckets that hold two components go on
-        placed = _placed(bucket, component)
-        mixed = placed.groupBy("table_key").agg(F.count_if(F.expr("c <> cl")).alias("outside")).where("outside > 0")
-        placed = cut(placed.join(mixed, "table_key"))
+    lead = members.groupBy("table_key").agg(F.min(F.struct("rep", "n")).alias("lead"))
+    bucket = cut(members.join(lead, "table_key").select("table_key", "rep", "n", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("ln")))
+    if bucket.isEmpty():
+        return None
+    pairs = bucket.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.col("ln").alias("na"), F.col("n").alias("nb")).distinct()
+    known, found, component = _measured(pairs, sets, None, None, None)
+    # only buckets that hold two components go on; outsiders first meet some other members of the leader's component
+    placed = bucket
+    for turn in range(TURNS + 1):
+        placed = cut(_mixed(placed, component))
         if placed.isEmpty():
             return component
-        rows = _distanced(placed, known)
-        pairs = rows.alias("x").join(rows.alias("y"), "table_key").where("x.rep < y.rep and x.c <> y.c").where((F.col("x.outside") <= SMALL) | F.expr("(x.c = x.cl) <> (y.c = y.cl)"))
-        pairs = pairs.where((F.col("x.low") <= F.col("y.high") + _FAR) & (F.col("y.low") <= F.col("x.high") + _FAR))
-        pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).where(_SIZES).distinct()
-        known, found, component = _measured(pairs, sets, known, found, component)
-        bucket = placed.where((F.col("outside") > SMALL) & (F.col("c") != F.col("cl"))).select("table_key", "rep", "n")
+        if turn < TURNS:
+            salt = F.xxhash64("rep", "table_key", F.lit(turn))
+            second = placed.where("c = cl").groupBy("table_key").agg(F.min_by(F.struct("rep", "n"), salt).alias("second"))
+            few = placed.where("c <> cl").withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy(F.xxhash64("table_key", F.lit(turn))))).where(F.col("r") <= MEETINGS)
+            met = few.join(second, "table_key").select(F.least("rep", "second.rep").alias("a"), F.greatest("rep", "second.rep").alias("b"), F.when(F.col("rep") < F.col("second.rep"), F.col("n")).otherwise(F.col("second.n")).alias("na"), F.when(F.col("rep") < F.col("second.rep"), F.col("second.n")).otherwise(F.col("n")).alias("nb"))
+            known, found, component = _measured(met.distinct(), sets, known, found, component)
+    rest = cut(placed.select("rep", "n", "c").distinct())
+    return _measured(rare_pairs(rest, sets), sets, known, found, component)[2]
+
+
+def rare_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb): all pairs of rows (rep, n, c) of different c that can be similar enough.
+
+    Two sets of similarity t share one of the first n - ceil(t * n) + 1 items of
+    each, in any one order; with the rarest first, sets that have only frequent
+    items in common don't meet.  Items that one c alone has are dropped before the
+    join.
+    """
+    items = cut(rows.join(sets, rows["rep"] == sets["id"]).select("rep", "n", "c", F.explode("items").alias("item")))
+    often = items.groupBy("item").agg(F.count("*").alias("often")).where("often > 1")
+    held = items.join(often, "item")
+    # items that one set alone has come first in its order, and meet nobody
+    alone = F.col("n") - F.count("*").over(W.partitionBy("rep"))
+    place = alone + F.row_number().over(W.partitionBy("rep").orderBy("often", "item"))
+    prefix = held.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(PERCENT) / F.lit(100)) + 1).select("item", "rep", "n", "c", "place")
+    shared = prefix.groupBy("item").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("item")
+    prefix = cut(prefix.join(shared, "item", "left_semi"))
+    # at the first common item, what follows in both sets must still suffice for t / (1 + t) of their sizes' sum
+    enough = f"{100 + PERCENT} * (1 + least(x.n - x.place, y.n - y.place)) >= {PERCENT} * (x.n + y.n)"
+    pairs = prefix.alias("x").join(prefix.alias("y"), "item").where(f"x.rep < y.rep and x.c <> y.c and {enough}").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    return pairs.where(_SIZES).distinct()
+
+
+def _mixed(bucket: DataFrame, component: DataFrame) -> DataFrame:
+    """Members of buckets that hold two components, placed."""
+    placed = _placed(bucket, component)
+    mixed = placed.groupBy("table_key").agg(F.count_if(F.expr("c <> cl")).alias("outside")).where("outside > 0").select("table_key")
+    return placed.join(mixed, "table_key", "left_semi")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, known: DataFrame | None, found: DataFrame | None, component: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -196,17 +226,6 @@ def _placed(bucket: DataFrame, component: DataFrame) -> DataFrame:
     return rows.select("table_key", "rep", "n", "leader", "ln", F.coalesce("c1", "rep").alias("c"), F.coalesce("c2", "leader").alias("cl"))
 
 
-def _distanced(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """rows with bounds of each member's Jaccard distance to its leader: exact where measured, else from the sizes."""
-    measured = known.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "common")
-    rows = rows.join(measured, ["leader", "rep"], "left")
-    exact = 1 - F.col("common") / (F.col("n") + F.col("ln") - F.col("common"))
-    least = 1 - F.least("n", "ln") / F.greatest("n", "ln")
-    own = F.col("rep") == F.col("leader")
-    low, high = F.when(own, 0.0).otherwise(F.coalesce(exact, least)), F.when(own, 0.0).otherwise(F.coalesce(exact, F.lit(1.0)))
-    return rows.select("table_key", "outside", "rep", "n", "c", "cl", low.alias("low"), high.alias("high"))
-
-
 def classes_of(rows: DataFrame) -> DataFrame:
     """One row for each distinct set of `signatures`: its least doc_id as rep, and its keys."""
     least = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "keys")).alias("least"))
@@ -218,7 +237,9 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     rows = cut(signatures(docs, doc_id, text))
     classes = cut(classes_of(rows))
     members = table_members(classes)
-    shared = members.groupBy("table_key").agg(F.count("*").alias("size")).where("size > 1").select("table_key")
+    # tables with the same members are one: a pair of near copies shares dozens
+    marks = members.groupBy("table_key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("size > 1")
+    shared = marks.groupBy("size", "x", "y").agg(F.min("table_key").alias("table_key")).select("table_key")
     members = cut(members.join(shared, "table_key", "left_semi"))
     reps = members.select("rep").distinct()
     # rows of one id and several texts are told apart by the digest
