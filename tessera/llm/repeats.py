@@ -28,8 +28,8 @@ from tessera.llm import _text as T
 
 #: From a batch's bytes and offsets to a 64-bit value for each item, and the offsets into them.
 Items = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-#: Rows of a small side that may be broadcast, with at most some dozens of bytes each; more are joined by an exchange.
-BROADCAST_ROWS = 1_000_000
+#: Rows and ranges in all (some dozens of bytes each) up to which a side is broadcast; more are joined by an exchange.
+BROADCAST_ROWS = 200_000
 
 
 def word_items(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,9 +75,10 @@ def _spread(row: np.ndarray, lo: np.ndarray) -> np.ndarray:
 
 
 def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, th and text: th tells texts of one doc_id apart."""
+    """doc_id, th and text: th tells texts of one doc_id apart, and is 0 throughout where ids are unique."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.select("doc_id", F.hash("text").alias("th"), "text")
+    unique = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return rows.select("doc_id", (F.lit(0) if unique else F.hash("text")).alias("th"), "text")
 
 
 def candidates(rows: DataFrame, items: Items, width: int, k: int) -> DataFrame:
@@ -85,7 +86,7 @@ def candidates(rows: DataFrame, items: Items, width: int, k: int) -> DataFrame:
 
     rows: as `identified` gives them.  Rows without an id take no part.
     """
-    schema = "key long, known int, doc_id long, th int, lo int, hi int"
+    schema = "key long, doc_id long, th int, place long"  # few and small fields: this exchange is the largest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,22 +104,20 @@ def candidates(rows: DataFrame, items: Items, width: int, k: int) -> DataFrame:
             more_row, more_lo, more_hi = merge(row[order[~fresh]], lo[order[~fresh]], hi[order[~fresh]])
             every = [np.concatenate(x) for x in ((key[first], _spread(more_row, more_lo)), ((number > 1).astype(np.int32) * 2, np.ones(len(more_row), np.int32)), (row[first], more_row), (lo[first], more_lo), (hi[first], more_hi))]
             take = pa.array(every[2])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(T.as_long(every[0])), pa.array(every[1].astype(np.int32)), batch["doc_id"].take(take), batch["th"].take(take), pa.array(every[3].astype(np.int32)), pa.array(every[4].astype(np.int32))],
-                [x.split()[0] for x in schema.split(", ")],
-            )
+            place = every[3] << 33 | (every[4] - every[3]) << 2 | every[1]
+            yield pa.RecordBatch.from_arrays([pa.array(T.as_long(every[0])), batch["doc_id"].take(take), batch["th"].take(take), pa.array(place)], [x.split()[0] for x in schema.split(", ")])
 
     found = rows.where("doc_id is not null").mapInArrow(run, schema)
     # a spread key may equal an anchor's by chance; that only keeps a stretch too many
     same = W.partitionBy("key")
-    again = found.withColumn("n", F.count("*").over(same)).withColumn("k", F.max("known").over(same)).where("n > 1 or k > 0")
-    return again.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    again = found.withColumn("n", F.count("*").over(same)).withColumn("k", F.max(F.expr("place & 3")).over(same)).where("n > 1 or k > 0")
+    lo, length = F.expr("cast(shiftrightunsigned(place, 33) as int)"), F.expr("cast(shiftrightunsigned(place, 2) & 2147483647 as int)")
+    return again.groupBy("doc_id", "th").agg(F.collect_list(F.struct(lo.alias("lo"), (lo + length).alias("hi"))).alias("ranges"))
 
 
-def with_ranges(rows: DataFrame, ranges: DataFrame, how: str, count: int | None = None) -> DataFrame:
+def with_ranges(rows: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
     """rows joined to per-text ranges; a small side is broadcast once it has been counted."""
-    n = ranges.count() if count is None else count
-    if n <= BROADCAST_ROWS:
+    if (ranges.agg(F.sum(F.size("ranges") + 1)).first()[0] or 0) <= BROADCAST_ROWS:
         ranges = F.broadcast(ranges)
     return rows.join(ranges, ["doc_id", "th"], how)
 

@@ -66,7 +66,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def probes(parts: DataFrame, block: int) -> DataFrame:
     """For every rolling run of `block` words its hash, where it starts, and whether it is a block of its text."""
-    schema = "key long, known boolean, is_block boolean, doc_id long, th int, lo int, at int"
+    schema = "key long, doc_id long, th int, place long"  # place: lo, position, known and is_block in one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,10 +89,8 @@ def probes(parts: DataFrame, block: int) -> DataFrame:
             sent = key[order].copy()
             sent[rest] = T.mix(row[order][rest].astype(np.uint64) * np.uint64(T.BASE) + at[order][rest].astype(np.uint64))
             take = pa.array(row[order])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(T.as_long(sent)), pa.array(known), pa.array(np.where(fresh, is_block[order] | known, is_block[order])), batch["doc_id"].take(take), batch["th"].take(take), batch["lo"].take(take), pa.array(at[order].astype(np.int32))],
-                [x.split()[0] for x in schema.split(", ")],
-            )
+            place = lo.astype(np.int64)[row[order]] << 33 | at[order] << 2 | known.astype(np.int64) << 1 | np.where(fresh, is_block[order] | known, is_block[order])
+            yield pa.RecordBatch.from_arrays([pa.array(T.as_long(sent)), batch["doc_id"].take(take), batch["th"].take(take), pa.array(place)], [x.split()[0] for x in schema.split(", ")])
 
     return parts.mapInArrow(run, schema)
 
@@ -100,13 +98,14 @@ def probes(parts: DataFrame, block: int) -> DataFrame:
 def hits(found: DataFrame) -> DataFrame:
     """doc_id, th, lo of each stretch with the positions of its hits: a run that equals a block elsewhere."""
     same = W.partitionBy("key")
-    rows = found.withColumn("n", F.count("*").over(same)).withColumn("b", F.max("is_block").over(same)).where("known or (n > 1 and b)")
-    return rows.groupBy("doc_id", "th", "lo").agg(F.collect_list("at").alias("hits"))
+    rows = found.withColumn("n", F.count("*").over(same)).withColumn("b", F.max(F.expr("place & 1")).over(same)).where("place & 2 <> 0 or (n > 1 and b = 1)")
+    lo, at = F.expr("cast(shiftrightunsigned(place, 33) as int)"), F.expr("cast(shiftrightunsigned(place, 2) & 2147483647 as int)")
+    return rows.groupBy("doc_id", "th", lo.alias("lo")).agg(F.collect_list(at).alias("hits"))
 
 
 def windows(parts: DataFrame, window: int, block: int) -> DataFrame:
     """Key and place of every window that holds a hit (parts: stretches with hits); repeats inside a batch are told at once."""
-    schema = "key long, later boolean, doc_id long, th int, at int"
+    schema = "key long, doc_id long, th int, place long"  # place: start and whether it is known to be later
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,17 +127,18 @@ def windows(parts: DataFrame, window: int, block: int) -> DataFrame:
             later = (doc[order] > doc[group_first]) | (at[order] > at[group_first])
             sent = key[order].copy()
             sent[later] = T.mix(doc[order][later].astype(np.uint64) * np.uint64(T.BASE) + at[order][later].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(T.as_long(sent)), pa.array(later), pa.array(doc[order]), pa.array(th[order]), pa.array(at[order].astype(np.int32))], [x.split()[0] for x in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(T.as_long(sent)), pa.array(doc[order]), pa.array(th[order]), pa.array(at[order].astype(np.int64) << 1 | later)], [x.split()[0] for x in schema.split(", ")])
 
     return parts.mapInArrow(run, schema)
 
 
 def repeated(found: DataFrame) -> DataFrame:
     """doc_id, th and ranges [lo, hi] of the starts of all windows that also start earlier."""
-    same = W.partitionBy("key", "later").orderBy("doc_id", "at")
-    first = F.first(F.struct("doc_id", "at")).over(same)
-    rows = found.withColumn("first", first).where("later or doc_id > first.doc_id or at > first.at")
-    return rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"))).alias("ranges"))
+    later = F.expr("place & 1 = 1")
+    first = F.min(F.when(~later, F.struct("doc_id", "place"))).over(W.partitionBy("key"))
+    rows = found.withColumn("first", first).where(later | F.expr("doc_id > first.doc_id or place > first.place"))
+    at = F.expr("cast(shiftrightunsigned(place, 1) as int)")
+    return rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct(at.alias("lo"), at.alias("hi"))).alias("ranges"))
 
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
