@@ -331,7 +331,7 @@ def build_decision(spark, d):
 _ABL = f"(SELECT lang, positive, unnest(['score', 'second']) AS component, unnest([score, round((doc_id % 7) / 7e0, 9)]) AS v FROM {SCORED} AS s)"
 
 
-@query(f"SELECT a.lang, a.component, avg(CASE WHEN a.v > b.v THEN 1e0 WHEN a.v = b.v THEN 0.5e0 ELSE 0e0 END) AS auc FROM {_ABL} AS a JOIN {_ABL} AS b ON a.lang = b.lang AND a.component = b.component AND a.positive AND NOT b.positive GROUP BY 1, 2", "auc")
+@query(f"SELECT lang, component, coalesce(auc, 0e0) AS auc FROM (SELECT DISTINCT lang, component FROM {_ABL} AS g) AS g LEFT JOIN (SELECT a.lang, a.component, avg(CASE WHEN a.v > b.v THEN 1e0 WHEN a.v = b.v THEN 0.5e0 ELSE 0e0 END) AS auc FROM {_ABL} AS a JOIN {_ABL} AS b ON a.lang = b.lang AND a.component = b.component AND a.positive AND NOT b.positive GROUP BY 1, 2) AS q USING (lang, component)", "auc")
 def component_ablation(spark, d):
     rows = scored(spark, d).withColumn("second", F.round((F.col("doc_id") % 7) / F.lit(7.0), 9))
     return validation.ablation(rows, ["lang"], ["score", "second"], "positive").select("lang", "component", "auc")
