@@ -6,47 +6,99 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bipartite_walk(edges: DataFrame, entity: str, fragment: str, restart: DataFrame | None = None, damping: float = 0.85, iterations: int = 10, tolerance: float | None = None, keep: DataFrame | None = None) -> DataFrame:
+#: So many fragments at most are broadcast in a step; beyond, edges and scores meet by an exchange.
+BROADCAST = 200_000
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Without a checkpoint folder (tests) the executors hold the rows."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
+
+
+def _steps(damping: float, fragment_damping: float, linked: float, iterations: int, tolerance: float | None) -> int:
+    """The step after which entities' and fragments' scores together change less than the tolerance.
+
+    All differences of a step have one sign, and a step keeps sums but for its damping; so the change
+    follows from `linked`, the part of the restart on entities with edges.
+    """
+    if tolerance is None:
+        return iterations
+    x, y, lone = damping * linked, fragment_damping * linked, damping * (1 - linked)
+    for k in range(1, iterations):
+        if x + y + lone < tolerance:
+            return k
+        x, y, lone = damping * y, fragment_damping * x, 0.0
+    return iterations
+
+
+def _walks(edges: DataFrame, restarts: dict[str, int], damping: float, fragment_damping: float, iterations: int, tolerance: float | None) -> DataFrame:
+    """f and its score by each restart, scaled to sum 1.
+
+    edges holds distinct (e, f) and for each restart a boolean of e; restarts has their numbers of entities.
+    Only the half-steps that lead to the last fragment scores are run: each is a join and partial sums.
+    """
+    names = list(restarts)
+    de = edges.groupBy("e").agg(F.count("*").alias("de"))
+    df = edges.groupBy("f").agg(F.count("*").alias("df"))
+    share = [F.when(F.col(r), F.lit(1.0 / max(n, 1))).otherwise(F.lit(0.0)).alias(r) for r, n in restarts.items()]
+    links = edges.join(de, "e").join(df, "f").select("e", "f", "de", "df", *share).repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "e")
+    links = _cut(links).persist()  # the cut also keeps what made them out of the plan of every step
+    linked = links.agg(*(F.sum(F.col(r) / F.col("de")).alias(r) for r in names)).first()
+    few = links.select("f").distinct().count() <= BROADCAST
+    steps = max(_steps(damping, fragment_damping, min(v or 0.0, 1.0), iterations, tolerance) for v in linked)
+
+    def to_f(x: DataFrame) -> DataFrame:
+        return links.select("e", "f", "de").join(x, "e").groupBy("f").agg(*((F.lit(fragment_damping) * F.sum(F.col(r) / F.col("de"))).alias(r) for r in names))
+
+    def to_e(y: DataFrame) -> DataFrame:
+        rows = links.select("e", "f", "df", *(F.col(r).alias(f"p_{r}") for r in names)).join(F.broadcast(y) if few else y, "f")
+        return rows.groupBy("e").agg(*((F.lit(1 - damping) * F.max(f"p_{r}") + F.lit(damping) * F.sum(F.col(r) / F.col("df"))).alias(r) for r in names))
+
+    # at first the entities hold their restart, the fragments nothing
+    x = links.groupBy("e").agg(*((F.lit(1 - damping if steps % 2 == 0 else 1.0) * F.max(r)).alias(r) for r in names))
+    y = to_f(x) if steps else df.select("f", *(F.lit(0.0).alias(r) for r in names))
+    for _ in range(1 + (steps % 2 == 0), steps, 2):
+        y = to_f(to_e(_cut(y)))  # only fragments' scores are cut; longer plans fill the event log, as each of their stages logs the whole plan
+    y = _cut(y)
+    links.unpersist()
+    total = y.agg(*(F.sum(r).alias(f"t_{r}") for r in names))
+    return y.crossJoin(F.broadcast(total)).select("f", *(F.when(F.col(f"t_{r}") > 0, F.col(r) / F.col(f"t_{r}")).otherwise(F.lit(0.0)).alias(r) for r in names))  # one row
+
+
+def bipartite_walk(edges: DataFrame, entity: str, fragment: str, restart: DataFrame | None = None, damping: float = 0.85, iterations: int = 10, tolerance: float | None = None, keep: DataFrame | None = None, fragment_damping: float = 1.0) -> DataFrame:
     """fragment and score after personalised PageRank with restarts on entities, scores scaled to sum 1.
 
     Both sides are updated at once from the previous vectors; fragments begin at 0,
-    entities at the restart weights (those of `restart`, else all).  Each step is
-    two joins with partial sums; every fifth one is checkpointed.  With a tolerance
-    the walk ends when the entities' scores change less than that in total.
+    entities at the restart weights (those of `restart`, else all).  With a tolerance
+    the walk ends when the scores of both sides change less than that in total.
+    """
+    e = edges.select(F.col(entity).alias("e"), F.col(fragment).alias("f")).distinct().dropna()
+    if restart is None:
+        e, n = e.withColumn("score", F.lit(True)), e.select("e").distinct().count()
+    else:
+        own = restart.select(F.col(entity).alias("e"), F.lit(True).alias("score")).distinct()
+        e, n = e.join(own, "e", "left"), own.count()
+    return _walks(e, {"score": n}, damping, fragment_damping, iterations, tolerance).withColumnRenamed("f", fragment)
+
+
+def network_patterns(positive: DataFrame, negative: DataFrame, entity: str, fragment: str, share: float, least_enrichment: float, top: int = 24, iterations: int = 200, damping: float = 0.85, tolerance: float = 1e-10, least_prevalence_enrichment: float = 1.25) -> DataFrame:
+    """Fragments frequent among positives and favoured by their walk against the negatives': weight log2(enrichment) * sqrt(prevalence), the best `top`.
+
+    Both walks go over one graph of both sides' entities and the fragments that enough positives have; an
+    entity of both sides is a node on each.  They restart on the positives and on the negatives, and are
+    damped at fragments too.
     """
-    e = edges.select(F.col(entity).alias("e"), F.col(fragment).alias("f")).distinct()
-    de = e.groupBy("e").agg(F.count("*").alias("de"))
-    df = e.groupBy("f").agg(F.count("*").alias("df"))
-    links = e.join(de, "e").join(df, "f").persist()
-    base = de.select("e").join(restart.select(F.col(entity).alias("e"), F.lit(True).alias("r")).distinct(), "e", "left") if restart is not None else de.select("e", F.lit(True).alias("r"))
-    n = base.where("r").count() or 1
-    base = base.select("e", F.when(F.col("r"), F.lit(1.0 / n)).otherwise(F.lit(0.0)).alias("p")).persist()
-    x, y = base.select("e", F.col("p").alias("x")), df.select("f", F.lit(0.0).alias("y"))
-    for k in range(iterations):
-        to_f = links.join(x, "e").groupBy("f").agg(F.sum(F.col("x") / F.col("de")).alias("y"))
-        to_e = links.join(y, "f").groupBy("e").agg(F.sum(F.col("y") / F.col("df")).alias("g"))
-        new = base.join(to_e, "e", "left").select("e", (F.lit(1 - damping) * F.col("p") + F.lit(damping) * F.coalesce("g", F.lit(0.0))).alias("x"))
-        if k % 5 == 4 and edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            new, to_f = new.checkpoint(), to_f.checkpoint()
-        if tolerance is not None:
-            moved = new.join(x.withColumnRenamed("x", "old"), "e").agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0]
-            if moved is not None and moved < tolerance:
-                x, y = new, to_f
-                break
-        x, y = new, to_f
-    total = y.agg(F.sum("y").alias("t"))
-    return y.crossJoin(F.broadcast(total)).select(F.col("f").alias(fragment), F.when(F.col("t") > 0, F.col("y") / F.col("t")).otherwise(F.lit(0.0)).alias("score"))  # one row
-
-
-def network_patterns(positive: DataFrame, negative: DataFrame, entity: str, fragment: str, share: float, least_enrichment: float, top: int = 24, iterations: int = 10) -> DataFrame:
-    """Fragments frequent among positives and favoured by their walk against the negatives': weight log2(enrichment) * sqrt(prevalence), the best `top`."""
-    n = positive.select(entity).distinct().count()
+    n, m = positive.select(entity).distinct().count(), negative.select(entity).distinct().count()
     least = max(10, -int(-share * n // 1))
-    counts = positive.select(entity, fragment).distinct().groupBy(fragment).agg(F.count("*").alias("hits")).where(F.col("hits") >= least)
-    walk = lambda rows, name: bipartite_walk(rows, entity, fragment, iterations=iterations).withColumnRenamed("score", name)
-    rows = counts.join(walk(positive, "own"), fragment).join(walk(negative, "other"), fragment, "left")
-    rows = rows.withColumn("enrichment", F.col("own") / F.greatest(F.coalesce("other", F.lit(0.0)), F.lit(1e-12))).where(F.col("enrichment") >= least_enrichment)
-    rows = rows.withColumn("prevalence", F.col("hits") / F.lit(n)).withColumn("weight", F.log2("enrichment") * F.sqrt("prevalence"))
+    side = lambda rows, own: rows.select(F.lit(own).alias("own"), F.col(entity).alias("id"), F.col(fragment).alias("f")).dropna().distinct()
+    rows = side(positive, True).unionByName(side(negative, False))
+    counts = rows.groupBy("f").agg(F.count_if("own").alias("hits"), F.count_if(~F.col("own")).alias("other_hits")).where(F.col("hits") >= least)
+    edges = rows.join(counts.select("f"), "f").select(F.struct("own", "id").alias("e"), "f", "own", (~F.col("own")).alias("other"))
+    rows = counts.join(_walks(edges, {"own": n, "other": m}, damping, damping, iterations, tolerance), "f").withColumnRenamed("f", fragment)
+    rows = rows.withColumn("enrichment", (F.col("own") + F.lit(1e-15)) / (F.col("other") + F.lit(1e-15))).withColumn("prevalence", F.col("hits") / F.lit(n))
+    rows = rows.withColumn("prevalence_enrichment", (F.col("hits") + 1) / F.lit(n + 2.0) / ((F.col("other_hits") + 1) / F.lit(m + 2.0)))
+    rows = rows.where((F.col("enrichment") >= least_enrichment) & (F.col("prevalence_enrichment") >= least_prevalence_enrichment))
+    rows = rows.withColumn("weight", F.log2("enrichment") * F.sqrt("prevalence"))
     return rows.orderBy(F.desc("weight"), F.desc("prevalence"), fragment).limit(top)
 
 

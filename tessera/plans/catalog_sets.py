@@ -249,7 +249,7 @@ def bipartite_pagerank(spark, d):
 @query()
 def network_patterns(spark, d):
     edges = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("e"), F.concat_ws(" ", "p_name", "p_brand").alias("f"), "l_returnflag")
-    return graph.network_patterns(edges.where("l_returnflag = 'R'"), edges.where("l_returnflag <> 'R'"), "e", "f", 0.0005, 1.0, 24, 4)
+    return graph.network_patterns(edges.where("l_returnflag = 'R'"), edges.where("l_returnflag <> 'R'"), "e", "f", 0.0005, 1.0, 24)
 
 
 @query("""SELECT 'r' || r_regionkey AS node, 0 AS depth, r_name AS path, false AS is_leaf FROM region UNION ALL SELECT 'n' || n_nationkey, 1, r_name || ' > ' || n_name, NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) FROM nation JOIN region ON n_regionkey = r_regionkey

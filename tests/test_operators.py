@@ -106,6 +106,47 @@ def test_walk_against_power_iteration(spark):
     assert [got[k] for k in (1, 2, 3)] == pytest.approx(list(y / y.sum()))
 
 
+def test_network_patterns_against_dense_walks(spark):
+    import math
+    import random
+
+    import numpy as np
+
+    r = random.Random(5)
+    # entity 0 is on both sides, entity 99 has no frequent fragment; fragment 11 is rare among positives
+    sides = [{i: {f for f in range(11) if r.random() < (0.7 if (f < 5) == own else 0.35)} | ({11} if not own else set()) for i in [0, *range(1 + 50 * (not own), 41 + 50 * (not own))]} for own in (True, False)]
+    sides[0][99] = {11}
+    frames = [spark.createDataFrame([(i, f) for i, fs in s.items() for f in fs], "e long, f long") for s in sides]
+    got = {x.f: x for x in graph.network_patterns(*frames, "e", "f", 0.01, 1.05).collect()}
+    n, m = map(len, sides)
+    rows = [fs for s in sides for fs in s.values()]
+    vocabulary = [f for f in range(12) if sum(f in fs for fs in sides[0].values()) >= 10]
+    g = np.array([[float(f in fs) for f in vocabulary] for fs in rows])
+    de, df = np.maximum(g.sum(1), 1), np.maximum(g.sum(0), 1)
+
+    def walk(at):
+        p = np.zeros(len(rows))
+        p[at] = 1 / len(p[at])
+        x, y = p, np.zeros(len(vocabulary))
+        for _ in range(200):
+            nx, ny = 0.15 * p + 0.85 * g @ (y / df), 0.85 * g.T @ (x / de)
+            moved = abs(nx - x).sum() + abs(ny - y).sum()
+            x, y = nx, ny
+            if moved < 1e-10:
+                break
+        return y / y.sum()
+
+    own, other = walk(slice(0, n)), walk(slice(n, None))
+    want = {}
+    for k, f in enumerate(vocabulary):
+        a, b = g[:n, k].sum(), g[n:, k].sum()
+        if own[k] / other[k] >= 1.05 and (a + 1) / (n + 2) / ((b + 1) / (m + 2)) >= 1.25:
+            want[f] = (own[k], other[k], math.log2(own[k] / other[k]) * math.sqrt(a / n))
+    assert 0 < len(want) < len(vocabulary) < 12 and got.keys() == want.keys()
+    for f, w in want.items():
+        assert (got[f].own, got[f].other, got[f].weight) == pytest.approx(w, rel=1e-8)
+
+
 def test_gate_reasons_and_order(spark):
     df = spark.createDataFrame([(1, 2.0), (2, None)], "id long, x double")
     gates = {"z": F.col("x") > 1, "a": F.col("x") > 5}
