@@ -88,28 +88,39 @@ def _order(span: Span) -> tuple[int, int, int]:
     return span[1], KINDS.index(span[0]), span[2]
 
 
-_KEYED = re.compile(r"""(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth|key)[ ]{0,3}[=:][ ]{0,3}["']?([A-Za-z0-9+/_-]{6,200})["']?""")
-_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,200}(?![A-Za-z0-9+/_-])")
+_KEYED = re.compile(r"""(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth|key)[ ]{0,3}[=:][ ]{0,3}["']?([A-Za-z0-9+/_-]{6,}+)["']?""")
+_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+(?![A-Za-z0-9+/_-])")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[ ]?(?:\(at\)|\[at\]| at )[ ]?[A-Za-z0-9-]{1,63}(?:[ ]?(?:\(dot\)|\[dot\]| dot |\.)[ ]?[A-Za-z0-9-]{1,63}){1,4}")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _ID_NUMBER = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 #: kind, pattern, its group, and what every match has: a pattern is searched only near that.
 GENERATORS = (("secret", _KEYED, 1, re.compile("[=:]")), ("secret", _RANDOM, 0, re.compile("[0-9]")), ("email", _SPELLED, 0, re.compile(r"\(at\)|\[at\]|\(dot\)|\[dot\]| dot ")), ("phone", _LOCAL_PHONE, 0, re.compile("[0-9]")), ("number", _ID_NUMBER, 0, re.compile("[0-9]")), ("number", _ACCOUNT, 0, re.compile("[0-9]")))
-#: More than the length of any match; a pattern is searched so far around what it needs.
+#: More than the length of any match outside its run of secret characters; a pattern is searched so far around what it needs, and to both ends of the runs there.
 REACH = 400
+_RUN = re.compile(r"[A-Za-z0-9+/_-]*+")
+_RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 _CONTEXT = tuple(re.compile(p) for p in (r"(?i)(?:password|passwd|pwd|token|secret|key|auth)\W{0,6}$", r"(?i)(?:mail|contact|write to|reach)\W{0,6}$", r"(?i)(?:phone|call|tel|mobile|fax)\W{0,6}$", r"(?i)(?:ssn|social|account|iban|id|number|no)\W{0,6}$"))
 _VOWELS = frozenset("aeiouAEIOU")
 
 
 def _near(text: str, need: re.Pattern) -> list[tuple[int, int]]:
-    """The parts of the text within REACH of a match of `need`."""
+    """The parts of the text within REACH of a match of `need`, grown to whole runs; a growth never goes over the same characters again."""
     out: list[tuple[int, int]] = []
     at = 0
     while m := need.search(text, at):
         a, b = max(0, m.start() - REACH), m.start() + REACH
-        out[-1:] = [(out[-1][0], b)] if out and a <= out[-1][1] else [*out[-1:], (a, b)]
         at = m.end()
+        if out and b <= out[-1][1]:
+            continue
+        if b < len(text):
+            b = max(b, _RUN.match(text, b).end() + 2)  # a quote and what follows it
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+            continue
+        while a and text[a - 1] in _RUN_CHARS:
+            a -= 1
+        out.append((a, b))
     return out
 
 

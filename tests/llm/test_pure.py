@@ -109,6 +109,19 @@ def test_base_spans_are_the_patterns():
     assert pii.base_spans("a" * 200_000 + "@") == []
 
 
+def test_long_secrets_are_whole():
+    trees, limits = pii.model()
+    r = random.Random(8)
+    for n in (200, 201, 400, 900, 5000):
+        value = "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+        for before, after in (("token=", " and more"), ('secret: "', '" and more'), ("prose ", " and more"), ("prose ", "")):
+            text = "plain words " * 50 + before + value + after
+            assert pii.redact(text, pii.added_spans(text, [], trees, limits)) == "plain words " * 50 + before + "[SECRET]" + after
+    late = "plain words " + "abcdefgh" * 100 + "7" + "abcdefgh" * 100 + " more"  # the only digit is far from both ends
+    assert (1, 12, 12 + 1601) in pii.propose(late)
+    assert [(a, b) for _, a, b in pii.propose("x1" * 200_000)] == [(0, 400_000)]
+
+
 def test_added_spans_and_redaction():
     trees, limits = pii.model()
     text = 'a token = "97ffa88d7c5f5655e365004e29bd123cdabd722a" b joe@x.org password=7602ad27cf5550de1c plain words of prose'
