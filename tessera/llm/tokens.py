@@ -215,7 +215,8 @@ def count_huge(texts: DataFrame, path: str, chunk: int = CHUNK, overlap: int = O
         done = found if done is None else done.unionByName(found)
         if overlap > longest or got.where("n_tokens is null").isEmpty():
             return done
-        texts = texts.join(got.where("n_tokens is null").select("doc_id", "row_no"), ["doc_id", "row_no"], "left_semi")
+        again = got.where("n_tokens is null").select(F.col("doc_id").alias("again_id"), F.col("row_no").alias("again_no"))
+        texts = texts.join(again, F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("row_no") == F.col("again_no")), "left_semi")
         overlap, chunk = overlap * 2, max(chunk, overlap * 4)
 
 

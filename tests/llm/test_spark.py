@@ -109,6 +109,13 @@ def test_rare_pairs_lose_no_pair(spark):
             assert a >= b or 100 * c < 75 * (len(sets[a]) + len(sets[b]) - c) or (a, b) in got
 
 
+def test_token_counts_of_texts_without_an_id(spark):
+    rows = [(None, "a" * 700), (None, "b" * 900), (None, "a" * 700), (1, "a" * 700), (None, "word " * 100), (None, "short"), (None, None)]
+    path = tokenizer_path("byte_bpe_50k.json")
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_tokens) for x in tokens.count(frame(spark, rows), path, chunk=200, overlap=100).collect())
+    assert got == sorted((str(i), len(t or ""), len(tokens.tokenizer(path).encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+
+
 def test_token_counts_with_spliced_chunks(spark):
     r = random.Random(3)
     bits = ["a", "b", " ", "  ", "\n", "the ", "　 ", "é", "'s", "'", "<|endoftext|>", "1", "23", "!", "word "]
