@@ -1,33 +1,23 @@
-"""Which stretches of the texts may hold a repeated window: an exact prefilter.
+"""What the two removals of repeated windows share.
 
 A window is `width` consecutive items (words or bytes) of one text.  Its anchor is
-the least hash among its runs of `k` items, the leftmost of equals.  Equal windows
-have equal anchors; so a window whose anchor's hash occurs once in the corpus has
-no repeat, and stretches of such windows need no further work.  Nothing else is
-dropped: the callers decide on the windows themselves.
-
-A text gives about two anchors for each width - k + 1 items, so the exchange
-moves a small part of the corpus.  Anchors that occur twice in one Arrow batch are
-known to repeat; one of them stands for the batch in the exchange and the others
-go by a spread key, so a hash that a third of all rows share adds one row for each
-batch to its partition.
+the least hash among its runs of `k` items, the leftmost of equals, so equal windows
+have equal anchors, and a text gives about two anchors for each width - k + 1 items.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as T
 
-#: From a batch's bytes and offsets to a 64-bit value for each item, and the offsets into them.
-Items = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+Columns = tuple[np.ndarray, ...]
 #: Rows and ranges in all (some dozens of bytes each) up to which a side is broadcast; more are joined by an exchange.
 BROADCAST_ROWS = 200_000
 
@@ -37,10 +27,6 @@ def word_items(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return T.hash_ranges(data, starts, ends), of
 
 
-def byte_items(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return T.BYTE_TABLE[data], offsets
-
-
 def segments(values: np.ndarray, of: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: its hash, the text, and the first and last window's start in the text."""
     runs = T.hash_windows(values, k)
@@ -70,7 +56,7 @@ def merge(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return row[first], lo[first], reach[last] - shift[first]
 
 
-def _spread(row: np.ndarray, lo: np.ndarray) -> np.ndarray:
+def spread_key(row: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return T.mix(row.astype(np.uint64) * np.uint64(T.BASE) + lo.astype(np.uint64))
 
 
@@ -81,45 +67,50 @@ def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return rows.select("doc_id", (F.lit(0) if unique else F.hash("text")).alias("th"), "text")
 
 
-def candidates(rows: DataFrame, items: Items, width: int, k: int) -> DataFrame:
-    """doc_id, th and ranges [lo, hi] of window starts for every text that may hold a repeated window.
-
-    rows: as `identified` gives them.  Rows without an id take no part.
-    """
-    schema = "key long, doc_id long, th int, place long"  # few and small fields: this exchange is the largest
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = T.utf8(batch["text"])
-            parts = []
-            for a, b in T.steps(data, offsets):
-                key, text, lo, hi = segments(*items(*T.sub(data, offsets, a, b)), width, k)
-                parts.append((key, text + a, lo, hi))
-            key, row, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
-            order = np.argsort(key, kind="stable")
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = key[order][1:] != key[order][:-1]
-            number = np.diff(np.append(np.flatnonzero(fresh), len(key)))
-            first = order[fresh]
-            more_row, more_lo, more_hi = merge(row[order[~fresh]], lo[order[~fresh]], hi[order[~fresh]])
-            every = [np.concatenate(x) for x in ((key[first], _spread(more_row, more_lo)), ((number > 1).astype(np.int32) * 2, np.ones(len(more_row), np.int32)), (row[first], more_row), (lo[first], more_lo), (hi[first], more_hi))]
-            take = pa.array(every[2])
-            place = every[3] << 33 | (every[4] - every[3]) << 2 | every[1]
-            yield pa.RecordBatch.from_arrays([pa.array(T.as_long(every[0])), batch["doc_id"].take(take), batch["th"].take(take), pa.array(place)], [x.split()[0] for x in schema.split(", ")])
-
-    found = rows.where("doc_id is not null").mapInArrow(run, schema)
-    # a spread key may equal an anchor's by chance; that only keeps a stretch too many
-    same = W.partitionBy("key")
-    again = found.withColumn("n", F.count("*").over(same)).withColumn("k", F.max(F.expr("place & 3")).over(same)).where("n > 1 or k > 0")
-    lo, length = F.expr("cast(shiftrightunsigned(place, 33) as int)"), F.expr("cast(shiftrightunsigned(place, 2) & 2147483647 as int)")
-    return again.groupBy("doc_id", "th").agg(F.collect_list(F.struct(lo.alias("lo"), (lo + length).alias("hi"))).alias("ranges"))
-
-
-def with_ranges(rows: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
-    """rows joined to per-text ranges; a small side is broadcast once it has been counted."""
-    if (ranges.agg(F.sum(F.size("ranges") + 1)).first()[0] or 0) <= BROADCAST_ROWS:
-        ranges = F.broadcast(ranges)
-    return rows.join(ranges, ["doc_id", "th"], how)
+def names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def buffered(found: Iterator[Columns], size: int) -> Iterator[Columns]:
+    """Columns of `size` entries and more, made of those found one after the other; none is empty."""
+    held: list[Columns] = []
+    for columns in found:
+        held.append(columns)
+        if sum(len(x[0]) for x in held) >= size:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+    if any(len(x[0]) for x in held):
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def batches(columns: Columns, schema: str, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(columns[0]), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + rows]) for x in columns], names(schema))
+
+
+def merged(doc: np.ndarray, th: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """(doc_id, th), lo and hi of ranges of texts, with those that touch or overlap made one."""
+    order = np.lexsort((th, doc))
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[order][1:] != doc[order][:-1]) | (th[order][1:] != th[order][:-1])
+    row, lo, hi = merge(np.cumsum(fresh) - 1, lo[order].astype(np.int64), hi[order].astype(np.int64))
+    who = order[fresh][row]
+    return (doc[who], th[who]), lo.astype(np.int32), hi.astype(np.int32)
+
+
+def gathered(found: DataFrame) -> DataFrame:
+    """doc_id, th and all `ranges` of each text, from rows of doc_id, th, lo and hi."""
+    return found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+
+
+def few(ranges: DataFrame) -> bool:
+    """Whether texts' ranges may be broadcast."""
+    return (ranges.agg(F.sum(F.size("ranges") + 1)).first()[0] or 0) <= BROADCAST_ROWS
+
+
+def with_ranges(rows: DataFrame, ranges: DataFrame, how: str, small: bool) -> DataFrame:
+    """rows joined to per-text ranges, which are broadcast if small."""
+    return rows.join(F.broadcast(ranges) if small else ranges, ["doc_id", "th"], how)
 
 
 def ranges_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
