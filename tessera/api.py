@@ -1,4 +1,4 @@
-"""The library's surface: list models, score a table, score a file."""
+"""The library's surface: list models, score one input, a table or a file."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from tessera.operators import scoring
 from tessera.sources import tables
 
 #: Columns of the batch result that are written at six decimals.
-FLOATS = ["best_score", "auxiliary_score"]
+FLOATS = [f"best_{c}" for c in ("score", "threshold", "margin", "property_score", "structure_score")] + [f"auxiliary_{c}" for c in ("score", "threshold", "margin")]
 
 
 def available_models(folder: str, role: str | None = None) -> list[str]:
@@ -18,6 +18,11 @@ def available_models(folder: str, role: str | None = None) -> list[str]:
     return [m.model_id for m in scoring.load_models(folder) if role in (None, m.role)]
 
 
+def model_labels(folder: str) -> list[dict[str, str]]:
+    """id, category and role of all models; those without a role of their own are hidden."""
+    return [{"model_id": m.model_id, "category": m.category, "role": m.role or "hidden"} for m in scoring.load_models(folder)]
+
+
 def select_models(models: list[scoring.Model], ids: list[str] | None) -> list[scoring.Model]:
     """The models of these ids in this order, each once; all public ones without ids; an unknown id is an error."""
     if not ids:
@@ -49,6 +54,39 @@ def score_file(spark: SparkSession, source: str, target: str, models: list[scori
     tables.write_scores(out, target, [clash.get(c, c) for c in FLOATS])
 
 
+def _one_row(spark: SparkSession, value: str, provider_of) -> DataFrame:
+    if value is None:
+        raise TypeError("no input to score")
+    return provider_of("__row", "__value").entities(spark.createDataFrame([(0, value, "")], "__row long, __value string, __category string"))
+
+
+def score_all(spark: SparkSession, value: str, models: list[scoring.Model], provider_of) -> list[dict]:
+    """All models' results for one input, best first; None is an error, an invalid input a result."""
+    rows = scoring.ranked(scoring.score_all(_one_row(spark, value, provider_of), models, "entity_id", F.col("valid")))
+    return [r.asDict(recursive=True) for r in rows.orderBy("score_rank").collect()]
+
+
+def score(spark: SparkSession, value: str, model: scoring.Model, provider_of) -> float | None:
+    """One model's score of one input; None where the input is invalid."""
+    got = score_all(spark, value, [model], provider_of)[0]
+    return got["score"] if got["valid"] else None
+
+
+def category_scorers(spark: SparkSession, models: list[scoring.Model], provider_of) -> dict[str, object]:
+    """For each public model's category a function from an input to its score."""
+    return {m.category: (lambda value, m=m: score(spark, value, m, provider_of)) for m in select_models(models, None)}
+
+
+def self_test(spark: SparkSession, models: list[scoring.Model], provider_of, probe: str = "probe text 1") -> list[str]:
+    """What is wrong with the installed models: none, repeated ids, or results of a probe that aren't whole."""
+    ids = [m.model_id for m in models]
+    wrong = ([] if models else ["no models"]) + [f"repeated id {i}" for i in sorted({i for i in ids if ids.count(i) > 1})]
+    for r in score_all(spark, probe, models, provider_of) if models else []:
+        if not r["valid"] or not r["decision"] or abs(r["score"] - r["threshold"] - r["margin"]) > 1e-9:
+            wrong.append(f"{r['model_id']} gives no whole result")
+    return wrong
+
+
 def details(row: dict, model: scoring.Model, spark: SparkSession, valid: Column | None = None) -> dict:
     """Score, parts, decision and matched patterns of one entity given as a dict of its features."""
     frame = spark.createDataFrame([{"entity_id": 0, **row}])

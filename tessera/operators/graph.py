@@ -65,12 +65,13 @@ def _walks(edges: DataFrame, restarts: dict[str, int], damping: float, fragment_
     return y.crossJoin(F.broadcast(total)).select("f", *(F.when(F.col(f"t_{r}") > 0, F.col(r) / F.col(f"t_{r}")).otherwise(F.lit(0.0)).alias(r) for r in names))  # one row
 
 
-def bipartite_walk(edges: DataFrame, entity: str, fragment: str, restart: DataFrame | None = None, damping: float = 0.85, iterations: int = 10, tolerance: float | None = None, keep: DataFrame | None = None, fragment_damping: float = 1.0) -> DataFrame:
+def bipartite_walk(edges: DataFrame, entity: str, fragment: str, restart: DataFrame | None = None, damping: float = 0.85, iterations: int = 200, tolerance: float | None = 1e-10) -> DataFrame:
     """fragment and score after personalised PageRank with restarts on entities, scores scaled to sum 1.
 
     Both sides are updated at once from the previous vectors; fragments begin at 0,
     entities at the restart weights (those of `restart`, else all).  With a tolerance
     the walk ends when the scores of both sides change less than that in total.
+    Both sides are damped.
     """
     e = edges.select(F.col(entity).alias("e"), F.col(fragment).alias("f")).distinct().dropna()
     if restart is None:
@@ -78,7 +79,7 @@ def bipartite_walk(edges: DataFrame, entity: str, fragment: str, restart: DataFr
     else:
         own = restart.select(F.col(entity).alias("e"), F.lit(True).alias("score")).distinct()
         e, n = e.join(own, "e", "left"), own.count()
-    return _walks(e, {"score": n}, damping, fragment_damping, iterations, tolerance).withColumnRenamed("f", fragment)
+    return _walks(e, {"score": n}, damping, damping, iterations, tolerance).withColumnRenamed("f", fragment)
 
 
 def network_patterns(positive: DataFrame, negative: DataFrame, entity: str, fragment: str, share: float, least_enrichment: float, top: int = 24, iterations: int = 200, damping: float = 0.85, tolerance: float = 1e-10, least_prevalence_enrichment: float = 1.25) -> DataFrame:

@@ -41,19 +41,22 @@ def difference(rows: DataFrame, minus: DataFrame, key: str, ordinal: str) -> Dat
 def external_audit(rows: DataFrame, construction: DataFrame, ordinal: str, exact: str, parent: str) -> DataFrame:
     """Status of each external row against construction keys (exact, parent, scope: target_positive, target_negative or other).
 
-    Scope is the first that matches in that order, basis exact before parent; a
-    row that matches nothing is a candidate unless its parent came before, whatever
-    became of the earlier row; a null key is unresolved.
+    Scope is the first that matches in that order, or 'none'; basis is 'exact' if the
+    exact key matches in any scope, else 'parent', or 'none'.  A row that matches
+    nothing is a candidate unless its parent came before, whatever became of the
+    earlier row; a null key is unresolved, with neither scope nor basis.
     """
     scopes = ["target_positive", "target_negative", "other"]
     rank = F.array_position(F.array(*map(F.lit, scopes)), F.col("scope"))
     by = lambda key, name: construction.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"__{name}")).agg(F.min(rank).alias(f"{name}_rank"))
     found = rows.join(by(exact, "exact"), F.col(exact) == F.col("__exact"), "left").join(by(parent, "parent"), F.col(parent) == F.col("__parent"), "left")
     best = F.least(F.col("exact_rank"), F.col("parent_rank"))
-    scope = F.when(best.isNotNull(), F.element_at(F.array(*map(F.lit, scopes)), best.cast("int")))
-    basis = F.when(F.col("exact_rank") == best, "exact").when(F.col("parent_rank") == best, "parent")
-    seen = F.row_number().over(W.partitionBy(parent).orderBy(ordinal)) > 1
-    status = F.when(F.col(exact).isNull() | F.col(parent).isNull(), "unresolved").when(best.isNotNull(), "overlap_excluded").when(F.col("duplicate"), "duplicate_external_excluded").otherwise("true_external_candidate")
+    unresolved = F.col(exact).isNull() | F.col(parent).isNull()
+    scope = F.when(~unresolved, F.when(best.isNotNull(), F.element_at(F.array(*map(F.lit, scopes)), best.cast("int"))).otherwise("none"))
+    basis = F.when(~unresolved, F.when(F.col("exact_rank").isNotNull(), "exact").when(F.col("parent_rank").isNotNull(), "parent").otherwise("none"))
+    # null keys, however many, are spread by their ordinal
+    seen = F.row_number().over(W.partitionBy(parent, F.when(F.col(parent).isNull(), F.col(ordinal))).orderBy(ordinal)) > 1
+    status = F.when(unresolved, "unresolved").when(best.isNotNull(), "overlap_excluded").when(F.col("duplicate"), "duplicate_external_excluded").otherwise("true_external_candidate")
     return found.withColumn("duplicate", F.when(F.col(parent).isNull(), F.lit(False)).otherwise(seen)).withColumns({"overlap_scope": scope, "overlap_basis": basis, "status": status}).drop("__exact", "__parent", "exact_rank", "parent_rank")
 
 

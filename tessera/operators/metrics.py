@@ -69,12 +69,22 @@ def at_threshold(scored: DataFrame, keys: list[str], threshold: Column, score: s
     return sums.withColumns(rates(F.col("tp"), F.col("fp"), F.col("pos"), F.col("neg")))
 
 
+def next_up(x: Column) -> Column:
+    """The least double above x."""
+    return F.reflect(F.lit("java.lang.Math"), F.lit("nextUp"), x.cast("double")).cast("double")
+
+
 def best_threshold(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """The distinct score of most balanced accuracy; ties by MCC, nearness to 0.5, then the smaller."""
+    """The threshold of most balanced accuracy; ties by MCC, nearness to 0.5, then the smaller.
+
+    Tried are all distinct scores, and the next double above the largest, which takes no row.
+    """
     c = curve(hist, keys)
     c = c.withColumns(rates(F.col("tp"), F.col("fp"), F.col("pos"), F.col("neg")))
-    key = F.struct(F.round("balanced_accuracy", 12), F.round("mcc", 12), -F.abs(F.col("score") - 0.5), -F.col("score"))
-    return c.groupBy(*keys).agg(F.max_by("score", key).alias("threshold"), F.max("balanced_accuracy").alias("balanced_accuracy"))
+    tried = lambda balanced, mcc, at: F.struct(F.round(balanced, 12).alias("a"), F.round(mcc, 12).alias("b"), (-F.abs(at - 0.5)).alias("c"), (-at).alias("d"), at.alias("threshold"), balanced.alias("balanced_accuracy"), mcc.alias("mcc"))
+    best = c.groupBy(*keys).agg(F.max(tried(F.col("balanced_accuracy"), F.col("mcc"), F.col("score"))).alias("x"), F.max("score").alias("top"), F.max((F.col("neg") > 0).cast("double")).alias("other"))
+    none = tried(F.col("other") / 2, F.lit(0.0), next_up(F.col("top")))
+    return best.select(*keys, F.greatest("x", none).alias("x")).select(*keys, "x.threshold", "x.balanced_accuracy", "x.mcc")
 
 
 def first_best_threshold(hist: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,11 +96,12 @@ def first_best_threshold(hist: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fpr_threshold(hist: DataFrame, keys: list[str], cap: float) -> DataFrame:
-    """Among thresholds with FPR at most cap, the one of most TPR, the least of equals; null if there is none."""
+    """Among thresholds with FPR at most cap, the one of most TPR, the least of equals; the next double above all scores if there is none."""
     c = curve(hist, keys)
     tpr, fpr = _rate(F.col("tp"), F.col("pos")), _rate(F.col("fp"), F.col("neg"))
     ok = fpr <= cap
-    return c.withColumns({"tpr": tpr, "fpr": fpr}).groupBy(*keys).agg(F.max_by(F.when(ok, F.col("score")), F.when(ok, F.struct("tpr", -F.col("score")))).alias("threshold"), F.max(F.when(ok, F.col("tpr"))).alias("tpr"))
+    best = F.max_by(F.when(ok, F.col("score")), F.when(ok, F.struct("tpr", -F.col("score"))))
+    return c.withColumns({"tpr": tpr, "fpr": fpr}).groupBy(*keys).agg(F.coalesce(best, next_up(F.max("score"))).alias("threshold"), F.coalesce(F.max(F.when(ok, F.col("tpr"))), F.lit(0.0)).alias("tpr"))
 
 
 def decile_threshold(scored: DataFrame, keys: list[str], score: str = "score", positive: str = "positive") -> DataFrame:
@@ -101,19 +112,22 @@ def decile_threshold(scored: DataFrame, keys: list[str], score: str = "score", p
     return got.groupBy(*keys).agg(F.max_by("threshold", F.struct(F.round("balanced_accuracy", 12), -F.col("threshold"))).alias("threshold"), F.max("balanced_accuracy").alias("balanced_accuracy"))
 
 
-def histogram_overlap(scored: DataFrame, keys: list[str], bins: int = 200, score: str = "score", positive: str = "positive") -> DataFrame:
-    """Overlap of both classes' densities over equal bins of [0, 1], the last one closed."""
-    at = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1))
-    inside = scored.where(F.col(score).between(0, 1))
-    binned = inside.groupBy(*keys, at.alias("bin")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
+def histogram_overlap(scored: DataFrame, keys: list[str], bins: int = 200, score: str = "score", positive: str = "positive", low: float = -0.05, high: float = 1.05) -> DataFrame:
+    """Overlap of both classes' densities over equal bins of [low, high], the last one closed; scores outside are left out."""
+    x, step = F.col(score), (high - low) / bins
+    edge = lambda k: k * F.lit(step) + F.lit(low)
+    near = F.least(F.floor((x - F.lit(low)) / F.lit(step)), F.lit(bins - 1))
+    at = F.when(x < edge(near), near - 1).when((x >= edge(near + 1)) & (near < bins - 1), near + 1).otherwise(near)
+    binned = scored.where(x.between(low, high)).groupBy(*keys, at.alias("bin")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
     whole = W.partitionBy(*keys)
     share = F.least(_rate(F.col("p"), F.sum("p").over(whole)), _rate(F.col("n"), F.sum("n").over(whole)))
     return binned.withColumn("s", share).groupBy(*keys).agg(F.sum("s").alias("overlap"))
 
 
-def objective(auc: Column, ks: Column, balanced: Column, threshold: Column, overlap: Column) -> Column:
-    """What grid searches minimise."""
-    return F.lit(2.0) * overlap + (1 - auc) + (1 - balanced) + F.lit(0.5) * (1 - ks) + F.lit(0.2) * F.abs(threshold - F.lit(0.5))
+def objective(auc: Column, ks: Column, balanced: Column, threshold: Column, overlap: Column, pos: Column, neg: Column) -> Column:
+    """What grid searches minimise; 10 where a class has fewer than two rows."""
+    value = F.lit(2.0) * overlap + (1 - auc) + (1 - balanced) + F.lit(0.5) * (1 - ks) + F.lit(0.2) * F.abs(threshold - F.lit(0.5))
+    return F.when((pos < 2) | (neg < 2), F.lit(10.0)).otherwise(value)
 
 
 def kde_overlap(scored: DataFrame, keys: list[str], points: int = 2000) -> DataFrame:

@@ -23,8 +23,8 @@ def pattern_rates(rows: DataFrame, flags: list[str], positive: str) -> DataFrame
     return long.groupBy("pattern").agg(share(F.col(positive)).alias("positive_rate"), share(~F.col(positive)).alias("negative_rate")).withColumn("delta", F.col("positive_rate") - F.col("negative_rate"))
 
 
-def assess(rows: DataFrame, flags: list[str], category: str) -> DataFrame:
-    """For each pattern and target category: rates, the largest other rate, breadth, smoothed enrichment and quality."""
+def assess(rows: DataFrame, flags: list[str], category: str, least_rate: float = 0.01) -> DataFrame:
+    """For each pattern and target category: rates, the largest other rate, breadth (other categories of least_rate or more), smoothed enrichment and quality."""
     long = unpivot_flags(rows, [category], flags)
     per = long.groupBy("pattern", F.col(category).alias("category")).agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"))
     whole = W.partitionBy("pattern")
@@ -33,7 +33,7 @@ def assess(rows: DataFrame, flags: list[str], category: str) -> DataFrame:
     per = per.withColumn("rate", rate).withColumn("r", top)
     best = F.max(F.when(F.col("r") == 1, F.col("rate"))).over(whole)
     second = F.coalesce(F.max(F.when(F.col("r") == 2, F.col("rate"))).over(whole), F.lit(0.0))
-    per = per.withColumns({"max_other": F.when(F.col("r") == 1, second).otherwise(best), "breadth": F.count_if(F.col("hits") > 0).over(whole), "other_hits": F.sum("hits").over(whole) - F.col("hits"), "other_n": F.sum("n").over(whole) - F.col("n")})
+    per = per.withColumns({"max_other": F.when(F.col("r") == 1, second).otherwise(best), "breadth": F.count_if(F.col("rate") >= least_rate).over(whole) - (F.col("rate") >= least_rate).cast("long"), "other_hits": F.sum("hits").over(whole) - F.col("hits"), "other_n": F.sum("n").over(whole) - F.col("n")})
     negative = F.when(F.col("other_n") > 0, F.col("other_hits") / F.col("other_n")).otherwise(F.lit(0.0))
     enrichment = ((F.col("hits") + F.lit(0.5)) / (F.col("n") + F.lit(1.0))) / ((F.col("other_hits") + F.lit(0.5)) / (F.col("other_n") + F.lit(1.0)))
     per = per.withColumns({"negative_rate": negative, "enrichment": enrichment}).withColumn("gap", F.col("rate") - F.col("max_other"))
@@ -80,10 +80,40 @@ def unit_candidates(units: DataFrame, sizes: DataFrame, least_count: int, least_
     return rows.where((F.col("n") >= least_count) & (F.col("share") >= least_share) & (F.col("breadth") <= most_breadth) & (F.col("enrichment") >= least_enrichment)).select("category", "unit", "n", "share", "breadth", "enrichment")
 
 
-def candidate_summary(candidates: DataFrame) -> DataFrame:
-    """Per category: units, exclusive and shared ones, those in three or more categories, and mean breadth."""
+def gate_patterns(assessed: DataFrame, keys: list[str], least_count: int = 3, least_rate: float = 0.01, least_enrichment: float = 1.25, least_gap: float = 0.01, most_breadth: int = 6, most: int = 24) -> DataFrame:
+    """selected, rejection_reason (sorted, joined by ';') and weight of assessed patterns; beyond the `most` best by quality, rate and name, 'max_patterns'."""
+    gates = {"positive_count": F.col("hits") >= least_count, "positive_prevalence": F.col("rate") >= least_rate, "enrichment": F.col("enrichment") >= least_enrichment, "specificity_gap": F.col("gap") >= least_gap, "category_breadth": F.col("breadth") <= most_breadth, "nonpositive_quality": F.col("quality") > 0}
+    rows = assessed.withColumn("rejection_reason", reasons(gates))
+    order = W.partitionBy(*keys).orderBy(F.col("rejection_reason") != "", F.desc("quality"), F.desc("rate"), "pattern")
+    rows = rows.withColumn("__place", F.row_number().over(order))
+    rows = rows.withColumn("rejection_reason", F.when((F.col("rejection_reason") == "") & (F.col("__place") > most), "max_patterns").otherwise(F.col("rejection_reason")))
+    return rows.withColumns({"selected": F.col("rejection_reason") == "", "weight": F.when(F.col("rejection_reason") == "max_patterns", F.lit(0.0)).otherwise(F.col("quality"))}).drop("__place")
+
+
+def candidate_summary(units: DataFrame, retained: DataFrame, categories: DataFrame, least_prevalence: int = 2) -> DataFrame:
+    """Per method: retained units, entities that have one, exclusive and shared units, mean breadth, and the mean Jaccard index of the categories' unit sets.
+
+    units: method, entity_id, category, unit; retained: method, unit; categories: category
+    and total, one row each.  A category has a unit that `least_prevalence` of its
+    entities have.
+    """
+    kept = units.join(retained.select("method", "unit").distinct(), ["method", "unit"])
+    counts = kept.dropDuplicates(["method", "entity_id", "category", "unit"]).groupBy("method", "category", "unit").agg(F.count("*").alias("n")).where(F.col("n") >= least_prevalence)
+    breadth = counts.groupBy("method", "unit").agg(F.count("*").alias("b"))
+    per = retained.select("method", "unit").distinct().join(breadth, ["method", "unit"], "left").withColumn("b", F.coalesce("b", F.lit(0)))
     share = lambda test: F.avg(test.cast("double"))
-    return candidates.groupBy("category").agg(F.count("*").alias("units"), share(F.col("breadth") == 1).alias("exclusive"), share(F.col("breadth") > 1).alias("shared"), share(F.col("breadth") >= 3).alias("in_three"), F.avg("breadth").alias("mean_breadth"))
+    out = per.groupBy("method").agg(F.count("*").alias("units"), share(F.col("b") == 1).alias("exclusive"), share(F.col("b") > 1).alias("shared"), share(F.col("b") >= 3).alias("in_three"), F.avg("b").alias("mean_breadth"))
+    covered = kept.select("method", "entity_id", "category").distinct().groupBy("method").agg(F.count("*").alias("coverage"))
+    # pairs of categories: their number is a dimension's; shared units come from each unit's own categories
+    sizes = categories.select("category").crossJoin(F.broadcast(retained.select("method").distinct())).join(counts.groupBy("method", "category").agg(F.count("*").alias("n")), ["method", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    one, two = sizes.select("method", F.col("category").alias("a"), F.col("n").alias("na")), sizes.select("method", F.col("category").alias("b"), F.col("n").alias("nb"))
+    both = counts.select("method", "unit", F.col("category").alias("a")).join(counts.select("method", "unit", F.col("category").alias("b")), ["method", "unit"]).where("a < b").groupBy("method", "a", "b").agg(F.count("*").alias("s"))
+    pairs = one.join(two, "method").where("a < b").join(both, ["method", "a", "b"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    union = F.col("na") + F.col("nb") - F.col("s")
+    jaccard = pairs.groupBy("method").agg(F.avg(F.when(union > 0, F.col("s") / union).otherwise(F.lit(0.0))).alias("mean_pairwise_jaccard"))
+    total = categories.agg(F.sum("total").alias("entities"))
+    rows = out.join(covered, "method", "left").join(jaccard, "method", "left").crossJoin(total)
+    return rows.withColumns({"coverage": F.coalesce("coverage", F.lit(0)), "mean_pairwise_jaccard": F.coalesce("mean_pairwise_jaccard", F.lit(0.0))}).withColumn("coverage_fraction", F.col("coverage") / F.col("entities"))
 
 
 def reuse(uses: DataFrame) -> DataFrame:

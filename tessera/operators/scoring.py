@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
+from tessera.sources.tables import fixed6
 
 INVALID_SCORE = -1e9
 
@@ -125,12 +126,24 @@ class GaussianAlerts(Model):
 
 @dataclass(frozen=True)
 class HistogramPpv(Model):
-    """Mean positive predictive value of binned properties: pos / (pos + neg) of the value's bin, ends clamped."""
+    """Binned properties' mean positive predictive value, blended with core and side-chain patterns.
+
+    property: pos / (pos + neg) of the value's bin, ends clamped.  structure: the largest
+    weight of the core patterns (boolean columns) whose size is within 5 of the core's,
+    0.10 for none, 0.05 without a core; and the side patterns' weight times the share of
+    the size outside the core, through a sigmoid.
+    """
 
     edges: dict[str, list[float]] = field(default_factory=dict)
     positive: dict[str, list[float]] = field(default_factory=dict)
     negative: dict[str, list[float]] = field(default_factory=dict)
     property_weight: float = 1.0
+    structure_weight: float = 0.0
+    cores: dict[str, tuple[float, float]] = field(default_factory=dict)  # weight, size
+    sides: dict[str, float] = field(default_factory=dict)
+    core_weight: float = 0.5
+    core_size: str = "core_size"  # null without a core
+    size: str = "size"
 
     def parts(self) -> tuple[Column, Column, Column]:
         total = F.lit(0.0)
@@ -141,19 +154,36 @@ class HistogramPpv(Model):
                 value = F.when(x < F.lit(float(edges[k + 1])), F.lit(ppv[k])).otherwise(value)
             total = total + value
         prop = total / F.lit(float(len(self.edges) or 1))
-        return F.lit(self.property_weight) * prop, prop, F.lit(0.0)
+        structure = self._structure() if self.structure_weight else F.lit(0.0)
+        return F.lit(self.property_weight) * prop + F.lit(self.structure_weight) * structure, prop, structure
+
+    def _structure(self) -> Column:
+        own, whole = F.col(self.core_size).cast("double"), F.col(self.size).cast("double")
+        fits = [F.when(F.col(n) & (F.abs(own - F.lit(float(atoms))) <= 5), F.lit(float(w))) for n, (w, atoms) in self.cores.items()]
+        best = F.array_max(F.array(*fits)) if fits else F.lit(None).cast("double")
+        core = F.when(own.isNull(), F.lit(0.05)).otherwise(F.coalesce(best, F.lit(0.10)))
+        hits = F.lit(0.0)
+        for name, w in self.sides.items():
+            hits = hits + F.when(F.col(name), F.lit(float(w))).otherwise(F.lit(0.0))
+        outside = F.greatest(F.lit(0.0), whole - F.coalesce(own, F.lit(0.0))) / (whole + F.lit(1e-9))
+        side = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-5.0) * (hits * outside - F.lit(0.25))))
+        return F.lit(self.core_weight) * core + F.lit(1 - self.core_weight) * side
 
 
 @dataclass(frozen=True)
 class HalfGaussianSimilarity(Model):
-    """Half-Gaussian property mean, group lookup, motif fraction and a similarity column as a weighted geometric mean."""
+    """Half-Gaussian property mean, group lookup, motif fraction and mean similarity as a weighted geometric mean.
+
+    weights: property, group, motif, similarity; the structure score is the last three's,
+    their weights scaled to 1.
+    """
 
     gaussians: dict[str, tuple[float, float, float]] = field(default_factory=dict)  # mean, deviation below, above
     group: str = "group_key"
     group_scores: dict[str, float] = field(default_factory=dict)
     group_default: float = 0.1
     motifs: dict[str, float] = field(default_factory=dict)
-    similarity: str = "max_similarity"
+    similarities: tuple[str, ...] = ("max_similarity",)
     weights: tuple[float, float, float, float] = (0.25, 0.25, 0.25, 0.25)
 
     def parts(self) -> tuple[Column, Column, Column]:
@@ -166,10 +196,12 @@ class HalfGaussianSimilarity(Model):
             found = F.when(F.col(self.group) == key, F.lit(float(value))).otherwise(found)
         group = F.coalesce(found, F.when(F.coalesce(F.col(self.group), F.lit("")) != "", F.lit(self.group_default)).otherwise(F.lit(0.0)))
         motif = F.least(_fraction(self.motifs), F.lit(1.0))
-        total = F.lit(0.0)
-        for w, part in zip(self.weights, (prop, group, motif, S.as_double(F.col(self.similarity))), strict=True):
-            total = total + F.lit(float(w)) * F.ln(F.greatest(part, F.lit(1e-6)))
-        return F.exp(total), prop, motif
+        near = sum((S.as_double(F.col(c)) for c in self.similarities), F.lit(0.0)) / F.lit(float(len(self.similarities)))
+        log = lambda w, part: F.lit(float(w)) * F.ln(F.greatest(part, F.lit(1e-6)))
+        outer = sum(self.weights[1:]) or 1.0
+        structure = F.exp(sum((log(w / outer, x) for w, x in zip(self.weights[1:], (group, motif, near), strict=True)), F.lit(0.0)))
+        score = F.exp(sum((log(w, x) for w, x in zip(self.weights, (prop, group, motif, near), strict=True)), F.lit(0.0)))
+        return score, prop, structure
 
     def matched(self) -> Column:
         return _matched(self.motifs)
@@ -229,29 +261,48 @@ def specificity(scores: DataFrame, calibration: dict[str, float]) -> DataFrame:
     return scores.withColumn("specificity", status)
 
 
-def roll_up(scores: DataFrame) -> DataFrame:
-    """Per entity: best product, numbers of positive and high-specificity products, the representative if there is just one, and the auxiliary result.  scores: with specificity."""
-    product = (F.col("role") == "product") & F.col("valid")
-    positive = product & (F.col("score") >= F.col("threshold"))
-    strict = product & (F.col("specificity") == "high_specificity")
-    key = F.struct("score", "margin", (-F.col("release_order")).alias("o"))
-    only = F.max(F.when(strict, F.col("category")))
+_BEST = ("category", "score", "threshold", "margin", "property_score", "structure_score", "decision")
+_AUXILIARY = ("model_id", "category", "score", "threshold", "margin", "decision")
+
+
+def roll_up(scores: DataFrame, role: str = "product") -> DataFrame:
+    """Per entity 18 columns: the best result, numbers of positive and high-specificity products, the representative, the auxiliary result.
+
+    scores: with specificity.  The best is the best valid product, else the best valid
+    result of any role; without one its columns are null, but for the decision
+    'invalid input' and best_valid.  The representative is the one product of high
+    specificity, else 'unresolved'.  An invalid auxiliary result has neither score nor
+    margin.
+    """
+    own = (F.col("role") == role) & F.col("valid")
+    strict = own & (F.col("specificity") == "high_specificity")
+    key = F.struct(F.col("valid").cast("int"), own.cast("int").alias("own"), "score", "margin", (-F.col("release_order")).alias("o"))
     n_strict = F.count_if(strict)
-    return scores.groupBy("entity_id").agg(
-        F.max_by(F.when(product, F.col("category")), F.when(product, key)).alias("best_category"),
-        F.max(F.when(product, F.col("score"))).alias("best_score"),
-        F.count_if(positive).alias("product_positive_count"),
+    helper = (F.col("role") == "auxiliary")
+    rows = scores.groupBy("entity_id").agg(
+        F.max_by(F.struct("valid", *_BEST), key).alias("b"),
+        F.count_if(own & (F.col("score") >= F.col("threshold"))).alias("product_positive_count"),
         n_strict.alias("product_high_specificity_count"),
-        F.when(n_strict == 1, only).otherwise(F.lit("unresolved")).alias("representative"),
-        F.max(F.when(F.col("role") == "auxiliary", F.col("score"))).alias("auxiliary_score"),
-        F.max(F.when(F.col("role") == "auxiliary", F.col("decision"))).alias("auxiliary_decision"),
+        F.when(n_strict == 1, F.max(F.when(strict, F.col("category")))).otherwise(F.lit("unresolved")).alias("representative"),
+        F.min_by(F.when(helper, F.struct("valid", *_AUXILIARY)), F.when(helper, F.col("release_order"))).alias("a"),
     )
+    valid = F.col("b.valid")
+    best = [(F.when(valid, F.col(f"b.{c}")).otherwise(F.lit("invalid input")) if c == "decision" else F.when(valid, F.col(f"b.{c}"))).alias(f"best_{c}") for c in _BEST]
+    side = [(F.when(F.col("a.valid"), F.col(f"a.{c}")) if c in ("score", "margin") else F.col(f"a.{c}")).alias(f"auxiliary_{c}") for c in _AUXILIARY]
+    return rows.select("entity_id", *best, valid.alias("best_valid"), "product_positive_count", "product_high_specificity_count", "representative", *side, F.col("a.valid").alias("auxiliary_valid"))
 
 
 def top_categories(scores: DataFrame, k: int = 3) -> DataFrame:
-    """The k best product categories of each entity as one text, best first."""
+    """The k best product categories of each entity as one text of category:score, best first."""
     rows = ranked(scores.where("role = 'product' and valid"), True).where(F.col("score_rank") <= k)
-    return rows.groupBy("entity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("score_rank", "category"))), lambda x: x["category"]), "; ").alias("top_categories"))
+    named = F.concat_ws(":", "category", fixed6("score"))
+    return rows.groupBy("entity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("score_rank", named.alias("x")))), lambda x: x["x"]), "; ").alias("top_categories"))
+
+
+def related_support(scores: DataFrame, related: list[str]) -> DataFrame:
+    """The valid results of an entity's related models, ordered by score, then margin."""
+    order = W.partitionBy("entity_id").orderBy(F.desc("score"), F.desc("margin"), "release_order")
+    return scores.where(F.col("valid") & F.col("model_id").isin(related)).withColumn("place", F.row_number().over(order))
 
 
 def evidence(candidates: DataFrame, similarity: str = "similarity", motif_hits: str = "motif_hits", motifs: str = "motifs") -> DataFrame:

@@ -59,15 +59,25 @@ def keep_unlike(rows: DataFrame, reference: DataFrame, key: str, reference_key:
     return rows.join(near, key, "left_anti")
 
 
-def nearest_category(rows: DataFrame, reference: DataFrame, key: str, reference_key: str, features: str, category: str) -> DataFrame:
-    """The category with the most similar reference row; ties to the category that comes first by name; null where nothing is shared."""
+def nearest_category(rows: DataFrame, reference: DataFrame, key: str, reference_key: str, features: str, category: str, listed: list | None = None) -> DataFrame:
+    """The category with the most similar reference row; ties to the one listed first (by name where no list is given); null where nothing is shared."""
     pairs = pair_similarities(rows, reference, key, reference_key, features)
     labels = reference.select(F.col(reference_key).alias("b"), F.col(category).alias("c"))
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, listed)), F.col("c")), F.lit(0)) if listed else F.col("c")
     best = pairs.join(labels, "b").groupBy("a", "c").agg(F.max("similarity").alias("s"))
-    first = best.groupBy("a").agg(F.min_by("c", F.struct(-F.col("s"), F.col("c"))).alias("nearest"), F.max("s").alias("similarity"))
+    first = best.groupBy("a").agg(F.min_by("c", F.struct(-F.col("s"), place)).alias("nearest"), F.max("s").alias("similarity"))
     return rows.select(key).join(first, F.col(key) == F.col("a"), "left").select(key, "nearest", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
+def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The element n // 2 of each group's sorted values, by ranks over the distinct values."""
+    hist = rows.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    whole = W.partitionBy(*keys)
+    upto = F.sum("n").over(whole.orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = hist.withColumns({"upto": upto, "half": F.floor(F.sum("n").over(whole) / 2)})
+    return ranked.groupBy(*keys).agg(F.sum("n").alias("n"), F.min(F.when(F.col("upto") > F.col("half"), F.col("v"))).alias("median"))
+
+
 def matched_l2(rows: DataFrame, target: DataFrame, key: str, props: list[str], k: int) -> DataFrame:
     """The k rows nearest to the target's medians in units of its interquartile ranges (population deviation, then 1, where that vanishes); ties by key."""
     stats = []
@@ -83,12 +93,12 @@ def matched_l2(rows: DataFrame, target: DataFrame, key: str, props: list[str], k
     return rows.select(key, F.sqrt(total).alias("distance")).orderBy("distance", key).limit(k)
 
 
-def matched_l1(rows: DataFrame, target: DataFrame, key: str, props: list[str], k: int) -> DataFrame:
+def matched_l1(rows: DataFrame, target: DataFrame, key: str, props: list[str], k: int, ordinal: str | None = None) -> DataFrame:
     """The k rows of least mean scaled absolute distance to the target's upper medians.
 
     Quantiles are elements of the sorted values, by index int(p * (n - 1)), and
     n // 2 for the centre; scales are at least 1.  Ties by the key's length as text,
-    then the key.
+    then the input order (the key, where no ordinal is given).
     """
     total, n = F.lit(0.0), target.count()
     for p in props:
@@ -100,11 +110,11 @@ def matched_l1(rows: DataFrame, target: DataFrame, key: str, props: list[str], k
         low, mid, high = ranks.agg(at(int(0.25 * (n - 1))), at(n // 2), at(int(0.75 * (n - 1)))).first()
         total = total + F.abs(F.col(p).cast("double") - F.lit(mid)) / F.lit(max(high - low, 1.0))
     text = F.col(key).cast("string")
-    return rows.select(key, (total / F.lit(float(len(props)))).alias("distance")).orderBy("distance", F.length(text), key).limit(k)
+    return rows.select(*dict.fromkeys([key, ordinal or key]), (total / F.lit(float(len(props)))).alias("distance")).orderBy("distance", F.length(text), ordinal or key).limit(k).select(key, "distance")
 
 
 def neighbour_clusters(pairs: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """Greedy clustering of a neighbour table (a, b): the item with the most free neighbours opens each cluster; ties to the smaller key.
+    """Greedy clustering of a neighbour table (a, b): the item with the most neighbours in all that is still free opens each cluster; ties to the smaller key.
 
     Sequential by definition; for panels of reviewed items, gathered in one group.
     """

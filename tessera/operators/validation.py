@@ -81,9 +81,13 @@ def delta_to_baseline(rows: DataFrame, keys: list[str], variant: str, baseline:
     return rows.join(base, keys, "left").select(*keys, variant, *measures, *((F.col(m) - F.col(f"__{m}")).alias(f"delta_{m}") for m in measures))
 
 
-def decision_label(auc: Column, balanced: Column, n: Column) -> Column:
-    """The build decision: too few rows, strong, usable, weak or rejected."""
-    return F.when(n < 30, "too_few").when((auc >= 0.8) & (balanced >= 0.75), "strong").when((auc >= 0.7) & (balanced >= 0.65), "usable").when(auc >= 0.6, "weak").otherwise("rejected")
+def decision_label(auc: Column, balanced: Column, positives: Column, released: Column) -> Column:
+    """The decision on a built model; the first that holds, in this order."""
+    strong, good = (auc >= 0.90) & (balanced >= 0.80), (auc >= 0.80) & (balanced >= 0.75)
+    return (
+        F.when(positives < 25, "insufficient_positive_examples").when(auc.isNull() | balanced.isNull(), "build_failed").when(F.coalesce(released, F.lit(False)), "existing_release_line")
+        .when(strong & (positives >= 100), "strong_release_candidate").when(good & (positives >= 100), "release_candidate").when(auc >= 0.70, "experimental_revisit").otherwise("reject_for_now")
+    )
 
 
 def bootstrap_auc(hist: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:

@@ -103,15 +103,31 @@ def histogram_ppv_score(spark, d):
     return _one(spark, d, PPV)
 
 
-HALF = scoring.HalfGaussianSimilarity("half", "medium", 0.4, gaussians={"p_size": (25, 10, 20), "p_retailprice": (950, 40, 20)}, group="group_key", group_scores={"ECONOMY": 0.9, "SMALL": 0.4}, group_default=0.2, motifs={"has_red": 1.0, "has_ring": 1.0}, similarity="near", weights=(0.4, 0.2, 0.2, 0.2))
+CORED = scoring.HistogramPpv("cored", "large", 0.5, edges={"p_size": [1, 10, 20, 30, 50]}, positive={"p_size": [4, 3, 2, 1]}, negative={"p_size": [1, 2, 2, 0]}, property_weight=0.6, structure_weight=0.4, cores={"has_red": (0.8, 10), "has_ring": (0.6, 30)}, sides={"has_bolt": 0.7, "is_small": 0.4}, core_weight=0.3)
+_OWN = "(CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size END)"
+_CORE = f"(CASE WHEN {_OWN} IS NULL THEN 0.05e0 ELSE coalesce(greatest(CASE WHEN has_red AND abs({_OWN} - 10) <= 5 THEN 0.8e0 END, CASE WHEN has_ring AND abs({_OWN} - 30) <= 5 THEN 0.6e0 END), 0.1e0) END)"
+_SIDE = f"(1e0 / (1e0 + exp(-5e0 * ((CASE WHEN has_bolt THEN 0.7e0 ELSE 0e0 END + CASE WHEN is_small THEN 0.4e0 ELSE 0e0 END) * greatest(0e0, p_size + 10 - coalesce({_OWN}, 0)) / (p_size + 10 + 1e-9) - 0.25e0))))"
+_CORED = f"(0.3e0 * {_CORE} + 0.7e0 * {_SIDE})"
+
+
+@query(_score_sql("cored", "large", 0.5, f"(0.6e0 * {_PPV} + 0.4e0 * {_CORED})", _PPV, _CORED), _SCORE)
+def core_side_score(spark, d):
+    rows = part(spark, d).withColumns({"core_size": F.when(F.col("p_size") % 3 != 0, F.col("p_size")), "size": F.col("p_size") + 10})
+    return scoring.score_all(rows, [CORED], "entity_id").select("entity_id", "model_id", "score", "margin", "property_score", "structure_score", "decision")
+
+
+HALF = scoring.HalfGaussianSimilarity("half", "medium", 0.4, gaussians={"p_size": (25, 10, 20), "p_retailprice": (950, 40, 20)}, group="group_key", group_scores={"ECONOMY": 0.9, "SMALL": 0.4}, group_default=0.2, motifs={"has_red": 1.0, "has_ring": 1.0}, similarities=("near", "nearer", "far"), weights=(0.4, 0.2, 0.1, 0.3))
 _HALF_PROP = "exp((ln(greatest(exp(-0.5e0 * power((p_size - 25e0) / CASE WHEN p_size < 25 THEN 10e0 ELSE 20e0 END, 2)), 1e-12)) + ln(greatest(exp(-0.5e0 * power((p_retailprice - 950e0) / CASE WHEN p_retailprice < 950 THEN 40e0 ELSE 20e0 END, 2)), 1e-12))) / 2e0)"
 _HALF_MOTIF = "((CASE WHEN has_red THEN 1e0 ELSE 0e0 END + CASE WHEN has_ring THEN 1e0 ELSE 0e0 END) / 2e0)"
-_HALF = f"exp(0.4e0 * ln(greatest({_HALF_PROP}, 1e-6)) + 0.2e0 * ln(CASE category WHEN 'ECONOMY' THEN 0.9e0 WHEN 'SMALL' THEN 0.4e0 ELSE 0.2e0 END) + 0.2e0 * ln(greatest({_HALF_MOTIF}, 1e-6)) + 0.2e0 * ln(greatest(p_size / 50e0, 1e-6)))"
+_GROUP = "(CASE category WHEN 'ECONOMY' THEN 0.9e0 WHEN 'SMALL' THEN 0.4e0 ELSE 0.2e0 END)"
+_NEAR = "((p_size / 50e0 + p_retailprice / 2000e0 + 0.25e0) / 3e0)"
+_HALF_OUTER = f"(0.2e0 * ln({_GROUP}) + 0.1e0 * ln(greatest({_HALF_MOTIF}, 1e-6)) + 0.3e0 * ln(greatest({_NEAR}, 1e-6)))"
+_HALF = f"exp(0.4e0 * ln(greatest({_HALF_PROP}, 1e-6)) + {_HALF_OUTER})"
 
 
-@query(_score_sql("half", "medium", 0.4, _HALF, _HALF_PROP, _HALF_MOTIF), _SCORE)
+@query(_score_sql("half", "medium", 0.4, _HALF, _HALF_PROP, f"exp({_HALF_OUTER} / 0.6e0)"), _SCORE)
 def half_gaussian_score(spark, d):
-    rows = part(spark, d).withColumn("near", F.col("p_size") / 50.0)
+    rows = part(spark, d).withColumns({"near": F.col("p_size") / 50.0, "nearer": F.col("p_retailprice") / 2000.0, "far": F.lit(0.25)})
     return scoring.score_all(rows, [HALF], "entity_id").select("entity_id", "model_id", "score", "margin", "property_score", "structure_score", "decision")
 
 
@@ -128,8 +144,9 @@ def published_quality_score(spark, d):
 
 _ALL_SQL = f"""(SELECT *, CASE WHEN valid AND round(score, 9) >= threshold THEN 1 ELSE 0 END AS positive FROM (
   SELECT entity_id, valid, m.model_id, m.category, m.role, m.o AS release_order, m.threshold,
-    CASE WHEN valid THEN CASE m.o WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END ELSE -1e9 END AS score
-  FROM (SELECT entity_id, p_size > 3 AS valid, {_RANGE} AS s0, {_NETWORK} AS s1, {_GAUSS} AS s2, {_PPV} AS s3 FROM {PART_SQL} AS p) AS x
+    CASE WHEN valid THEN CASE m.o WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END ELSE -1e9 END AS score,
+    CASE m.o WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE s3 END AS property_score, CASE m.o WHEN 0 THEN t0 WHEN 1 THEN t1 WHEN 2 THEN t2 ELSE 0e0 END AS structure_score
+  FROM (SELECT entity_id, p_size > 3 AS valid, {_RANGE} AS s0, {_NETWORK} AS s1, {_GAUSS} AS s2, {_PPV} AS s3, {_RANGE_PROP} AS p0, {_NET_PROP} AS p1, {_GAUSS_PROP} AS p2, {_RANGE_STRUCT} AS t0, ((0.42e0 * {_NET_STRUCT} + 0.3e0 * {_NET}) / 0.72e0) AS t1, {_GAUSS_STRUCT} AS t2 FROM {PART_SQL} AS p) AS x
   CROSS JOIN (VALUES ('range', 'economy', 'product', 0, 0.6e0, 0.8e0), ('network', 'promo', 'product', 1, 0.5e0, 0.4e0), ('gaussian', 'small', 'product', 2, 0.3e0, 0.6e0), ('ppv', 'large', 'auxiliary', 3, 0.5e0, NULL)) AS m(model_id, category, role, o, threshold, strict)) AS y)"""
 
 
@@ -159,22 +176,29 @@ def specificity_classes(spark, d):
 
 
 @query(
-    f"""SELECT entity_id, arg_max(category, (round(score, 9), round(round(score, 9) - threshold, 9), -release_order)) FILTER (role = 'product' AND valid) AS best_category,
-  max(round(score, 9)) FILTER (role = 'product' AND valid) AS best_score, CAST(coalesce(sum(positive) FILTER (role = 'product'), 0) AS BIGINT) AS product_positive_count,
-  count(*) FILTER (role = 'product' AND specificity = 'high_specificity') AS product_high_specificity_count,
-  CASE WHEN count(*) FILTER (role = 'product' AND specificity = 'high_specificity') = 1 THEN max(category) FILTER (role = 'product' AND specificity = 'high_specificity') ELSE 'unresolved' END AS representative,
-  max(round(score, 9)) FILTER (role = 'auxiliary') AS auxiliary_score,
-  max(CASE WHEN NOT valid THEN 'invalid input' WHEN positive = 1 THEN 'likely large' ELSE 'unlikely large' END) FILTER (role = 'auxiliary') AS auxiliary_decision
-  FROM {_SPEC} AS s GROUP BY entity_id""",
-    "best_score auxiliary_score",
+    f"""SELECT entity_id, CASE WHEN b.valid THEN b.category END AS best_category, CASE WHEN b.valid THEN b.score END AS best_score, CASE WHEN b.valid THEN b.threshold END AS best_threshold, CASE WHEN b.valid THEN b.margin END AS best_margin,
+  CASE WHEN b.valid THEN b.property_score END AS best_property_score, CASE WHEN b.valid THEN b.structure_score END AS best_structure_score, CASE WHEN b.valid THEN b.decision ELSE 'invalid input' END AS best_decision, b.valid AS best_valid,
+  product_positive_count, product_high_specificity_count, representative, a.model_id AS auxiliary_model_id, a.category AS auxiliary_category, CASE WHEN a.valid THEN a.score END AS auxiliary_score, a.threshold AS auxiliary_threshold,
+  CASE WHEN a.valid THEN a.margin END AS auxiliary_margin, a.decision AS auxiliary_decision, a.valid AS auxiliary_valid
+  FROM (SELECT entity_id, arg_max(r, (CAST(valid AS INTEGER), CASE WHEN role = 'product' AND valid THEN 1 ELSE 0 END, r.score, r.margin, -release_order)) AS b, max(r) FILTER (role = 'auxiliary') AS a,
+    count(*) FILTER (role = 'product' AND positive = 1) AS product_positive_count, count(*) FILTER (role = 'product' AND specificity = 'high_specificity') AS product_high_specificity_count,
+    CASE WHEN count(*) FILTER (role = 'product' AND specificity = 'high_specificity') = 1 THEN max(category) FILTER (role = 'product' AND specificity = 'high_specificity') ELSE 'unresolved' END AS representative
+    FROM (SELECT *, {{'valid': valid, 'model_id': model_id, 'category': category, 'score': round(score, 9), 'threshold': threshold, 'margin': CASE WHEN valid THEN round(round(score, 9) - threshold, 9) ELSE -1e9 END, 'property_score': property_score, 'structure_score': structure_score,
+      'decision': CASE WHEN NOT valid THEN 'invalid input' WHEN positive = 1 THEN 'likely ' || category ELSE 'unlikely ' || category END}} AS r FROM {_SPEC} AS s) AS q GROUP BY entity_id) AS z""",
+    "best_score best_threshold best_margin best_property_score best_structure_score auxiliary_score auxiliary_threshold auxiliary_margin",
 )
 def all_model_rollup(spark, d):
     return scoring.roll_up(scoring.specificity(_all(spark, d), CALIBRATION))
 
 
-@query(f"""SELECT entity_id, string_agg(category, '; ' ORDER BY r) AS top_categories FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY round(score, 9) DESC, round(round(score, 9) - threshold, 9) DESC, release_order) AS r FROM {_ALL_SQL} AS a WHERE role = 'product' AND valid) AS b WHERE r <= 2 GROUP BY entity_id""")
+@query(f"""SELECT entity_id, string_agg(category || ':' || printf('%.6f', round(score, 9)), '; ' ORDER BY r) AS top_categories FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY round(score, 9) DESC, round(round(score, 9) - threshold, 9) DESC, release_order) AS r FROM {_ALL_SQL} AS a WHERE role = 'product' AND valid) AS b WHERE r <= 3 GROUP BY entity_id""")
 def top_categories(spark, d):
-    return scoring.top_categories(_all(spark, d), 2)
+    return scoring.top_categories(_all(spark, d), 3)
+
+
+@query(f"SELECT entity_id, model_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY round(score, 9) DESC, round(round(score, 9) - threshold, 9) DESC, release_order) AS INTEGER) AS place FROM {_ALL_SQL} AS a WHERE valid AND model_id IN ('network', 'ppv')", "score")
+def related_support(spark, d):
+    return scoring.related_support(_all(spark, d), ["network", "ppv"]).select("entity_id", "model_id", "score", "place")
 
 
 @query(
@@ -197,6 +221,9 @@ _CURVE = f"""(SELECT *, sum(p) OVER dn AS tp, sum(n) OVER dn AS fp, sum(p) OVER
   WINDOW dn AS (PARTITION BY lang ORDER BY score DESC), al AS (PARTITION BY lang))"""
 _RATES = f"""(SELECT *, (CASE WHEN pos > 0 THEN tp / pos ELSE 0 END + CASE WHEN neg > 0 THEN (neg - fp) / neg ELSE 0 END) / 2 AS ba,
   CASE WHEN (tp + fp) * pos * neg * (pos + neg - tp - fp) > 0 THEN (tp * (neg - fp) - fp * (pos - tp)) / sqrt((tp + fp) * pos * neg * (pos + neg - tp - fp)) ELSE 0 END AS mcc FROM {_CURVE} AS c)"""
+#: and the double above all scores as a threshold that takes no row
+_TRIED = f"(SELECT lang, score, ba, mcc FROM {_RATES} AS r UNION ALL SELECT lang, nextafter(max(score), CAST('Infinity' AS DOUBLE)), max(CASE WHEN neg > 0 THEN 0.5e0 ELSE 0e0 END), 0e0 FROM {_RATES} AS r GROUP BY lang)"
+_BEST_KEY = "(round(ba, 12), round(mcc, 12), -abs(score - 0.5e0), -score)"
 
 
 def scored(spark, d):
@@ -223,7 +250,7 @@ def average_precision(spark, d):
     return metrics.average_precision(hist(spark, d), ["lang"])
 
 
-@query(f"SELECT lang, arg_max(score, (round(ba, 12), round(mcc, 12), -abs(score - 0.5e0), -score)) AS threshold, max(ba) AS balanced_accuracy FROM {_RATES} AS r GROUP BY lang", "threshold balanced_accuracy")
+@query(f"SELECT lang, arg_max(score, {_BEST_KEY}) AS threshold, max(ba) AS balanced_accuracy, arg_max(mcc, {_BEST_KEY}) AS mcc FROM {_TRIED} AS r GROUP BY lang", "threshold balanced_accuracy mcc")
 def best_threshold(spark, d):
     return metrics.best_threshold(hist(spark, d), ["lang"])
 
@@ -233,11 +260,21 @@ def roc_curve_threshold(spark, d):
     return metrics.first_best_threshold(hist(spark, d), ["lang"])
 
 
-@query(f"SELECT lang, arg_max(score, (tp / pos, -score)) FILTER (fp / neg <= 0.5e0) AS threshold, max(tp / pos) FILTER (fp / neg <= 0.5e0) AS tpr FROM {_CURVE} AS c GROUP BY lang", "threshold tpr")
+def _fpr_sql(cap: float) -> str:
+    rates = f"(SELECT lang, score, CASE WHEN pos > 0 THEN tp / pos ELSE 0e0 END AS tpr, CASE WHEN neg > 0 THEN fp / neg ELSE 0e0 END AS fpr FROM {_CURVE} AS c)"
+    return f"SELECT lang, coalesce(arg_max(score, (tpr, -score)) FILTER (fpr <= {cap}), nextafter(max(score), CAST('Infinity' AS DOUBLE))) AS threshold, coalesce(max(tpr) FILTER (fpr <= {cap}), 0e0) AS tpr FROM {rates} AS r GROUP BY lang"
+
+
+@query(_fpr_sql(0.5), "threshold tpr")
 def fpr_threshold(spark, d):
     return metrics.fpr_threshold(hist(spark, d), ["lang"], 0.5)
 
 
+@query(_fpr_sql(0.01), "threshold tpr")
+def strict_fpr_threshold(spark, d):
+    return metrics.fpr_threshold(hist(spark, d), ["lang"], 0.01)
+
+
 @query(
     f"""SELECT *, (sensitivity + specificity) / 2 AS balanced_accuracy FROM (SELECT lang, tp, fp, pos, neg, CASE WHEN pos > 0 THEN CAST(tp AS DOUBLE) / pos ELSE 0 END AS sensitivity, CASE WHEN neg > 0 THEN CAST(neg - fp AS DOUBLE) / neg ELSE 0 END AS specificity,
     CASE WHEN CAST(tp + fp AS DOUBLE) * pos * neg * (pos + neg - tp - fp) > 0 THEN (CAST(tp AS DOUBLE) * (neg - fp) - CAST(fp AS DOUBLE) * (pos - tp)) / sqrt(CAST(tp + fp AS DOUBLE) * pos * neg * (pos + neg - tp - fp)) ELSE 0 END AS mcc
@@ -259,8 +296,10 @@ def decile_threshold(spark, d):
 
 
 @query(
-    f"""SELECT lang, sum(least(p / greatest(tp, 1), n / greatest(tn, 1))) AS overlap FROM (SELECT *, sum(p) OVER (PARTITION BY lang) AS tp, sum(n) OVER (PARTITION BY lang) AS tn FROM (
-    SELECT lang, least(floor(score * 200), 199) AS b, CAST(count(*) FILTER (positive) AS DOUBLE) AS p, CAST(count(*) FILTER (NOT positive) AS DOUBLE) AS n FROM {SCORED} AS s GROUP BY 1, 2) AS h) AS w GROUP BY lang""",
+    f"""WITH e AS (SELECT lang, positive, score AS x, least(floor((score - -0.05e0) / (1.1e0 / 200)), 199) AS k FROM {SCORED} AS s WHERE score BETWEEN -0.05e0 AND 1.05e0),
+    b AS (SELECT lang, positive, CASE WHEN x < k * (1.1e0 / 200) + -0.05e0 THEN k - 1 WHEN k < 199 AND x >= (k + 1) * (1.1e0 / 200) + -0.05e0 THEN k + 1 ELSE k END AS bin FROM e)
+    SELECT lang, sum(least(p / greatest(tp, 1), n / greatest(tn, 1))) AS overlap FROM (SELECT *, sum(p) OVER (PARTITION BY lang) AS tp, sum(n) OVER (PARTITION BY lang) AS tn FROM (
+    SELECT lang, bin, CAST(count(*) FILTER (positive) AS DOUBLE) AS p, CAST(count(*) FILTER (NOT positive) AS DOUBLE) AS n FROM b GROUP BY 1, 2) AS h) AS w GROUP BY lang""",
     "overlap",
 )
 def histogram_overlap(spark, d):
@@ -310,17 +349,18 @@ def tail_likelihood_ratio(spark, d):
 
 
 @query(
-    f"""WITH a AS (SELECT lang, sum(p * (neg - fp + n / 2)) / (max(pos) * max(neg)) AS auc, max(abs(tp / pos - fp / neg)) AS ks, max(ba) AS ba, arg_max(score, (round(ba, 12), round(mcc, 12), -abs(score - 0.5e0), -score)) AS threshold FROM {_RATES} AS r WHERE pos > 0 AND neg > 0 GROUP BY lang),
+    f"""WITH a AS (SELECT lang, max(pos) AS pos, max(neg) AS neg, sum(p * (neg - fp + n / 2)) / (max(pos) * max(neg)) AS auc, max(abs(tp / pos - fp / neg)) AS ks, max(ba) AS ba, arg_max(score, (round(tp / pos - fp / neg, 12), score)) AS threshold FROM {_RATES} AS r GROUP BY lang),
     o AS ({SQL['histogram_overlap']})
-    SELECT lang, 2e0 * overlap + (1 - auc) + (1 - ba) + 0.5e0 * (1 - ks) + 0.2e0 * abs(threshold - 0.5e0) AS objective FROM a JOIN o USING (lang)""",
+    SELECT lang, CASE WHEN pos < 2 OR neg < 2 THEN 10e0 ELSE 2e0 * overlap + (1 - auc) + (1 - ba) + 0.5e0 * (1 - ks) + 0.2e0 * abs(threshold - 0.5e0) END AS objective FROM a JOIN o USING (lang)""",
     "objective",
     digits=4,
 )
 def grid_objective(spark, d):
-    h = hist(spark, d)
-    both = h.groupBy("lang").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn")).where("sp > 0 and sn > 0").select("lang")
-    rows = metrics.roc_auc(h, ["lang"]).join(metrics.ks_statistic(h, ["lang"]), "lang").join(metrics.best_threshold(h, ["lang"]), "lang").join(metrics.histogram_overlap(scored(spark, d), ["lang"]), "lang").join(both, "lang")
-    return rows.select("lang", metrics.objective(F.col("auc"), F.col("ks"), F.col("balanced_accuracy"), F.col("threshold"), F.col("overlap")).alias("objective"))
+    h, keys = hist(spark, d), ["lang"]
+    rows = h.groupBy("lang").agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    for part_of in (metrics.roc_auc(h, keys), metrics.ks_statistic(h, keys), metrics.first_best_threshold(h, keys), metrics.best_threshold(h, keys).select("lang", "balanced_accuracy"), metrics.histogram_overlap(scored(spark, d), keys)):
+        rows = rows.join(part_of, keys)
+    return rows.select("lang", metrics.objective(F.col("auc"), F.col("ks"), F.col("balanced_accuracy"), F.col("threshold"), F.col("overlap"), F.col("pos"), F.col("neg")).alias("objective"))
 
 
 # -- sampling -----------------------------------------------------------------------------------------------

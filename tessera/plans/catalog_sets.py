@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.features import TextFeatures
 from tessera.operators import graph, membership, patterns, similarity, trees, validation
-from tessera.plans.catalog import PART_SQL, SCORED, part, query, scored, t
+from tessera.plans.catalog import _BEST_KEY, PART_SQL, SCORED, part, query, scored, t
 from tessera.sources import tables
 
 _FLAGS = ["has_red", "has_bolt", "has_ring", "is_small"]
@@ -43,8 +43,8 @@ _AUDIT_SETS = "(SELECT p_name || '/' || p_brand AS x, p_name || '/' || (p_size %
 @query(
     f"""WITH r AS (SELECT *, CASE scope WHEN 'target_positive' THEN 1 WHEN 'target_negative' THEN 2 ELSE 3 END AS k FROM {_AUDIT_SETS} AS s),
     j AS (SELECT i, x, par, (SELECT min(k) FROM r WHERE r.x = a.x) AS ek, (SELECT min(k) FROM r WHERE r.par = a.par) AS pk, CASE WHEN par IS NULL THEN false ELSE row_number() OVER (PARTITION BY par ORDER BY i) > 1 END AS dup FROM {_AUDIT_ROWS} AS a)
-    SELECT i, dup AS duplicate, CASE least(ek, pk) WHEN 1 THEN 'target_positive' WHEN 2 THEN 'target_negative' WHEN 3 THEN 'other' END AS overlap_scope,
-      CASE WHEN ek = least(ek, pk) THEN 'exact' WHEN pk = least(ek, pk) THEN 'parent' END AS overlap_basis,
+    SELECT i, dup AS duplicate, CASE WHEN x IS NOT NULL THEN coalesce(CASE least(ek, pk) WHEN 1 THEN 'target_positive' WHEN 2 THEN 'target_negative' WHEN 3 THEN 'other' END, 'none') END AS overlap_scope,
+      CASE WHEN x IS NOT NULL THEN CASE WHEN ek IS NOT NULL THEN 'exact' WHEN pk IS NOT NULL THEN 'parent' ELSE 'none' END END AS overlap_basis,
       CASE WHEN x IS NULL THEN 'unresolved' WHEN least(ek, pk) IS NOT NULL THEN 'overlap_excluded' WHEN dup THEN 'duplicate_external_excluded' ELSE 'true_external_candidate' END AS status FROM j"""
 )
 def external_audit(spark, d):
@@ -104,16 +104,27 @@ def pattern_fallback(spark, d):
     return patterns.fallback_selection(_rates(spark, d), 50.0)
 
 
-@query(
-    f"""WITH c AS (SELECT pattern, category, count(*) FILTER (hit) AS hits, count(*) AS n FROM {_LONG} AS l GROUP BY 1, 2),
-    x AS (SELECT a.*, hits / n AS rate, (SELECT max(hits / n) FROM c o WHERE o.pattern = a.pattern AND o.category <> a.category) AS max_other, (SELECT sum(hits) FROM c o WHERE o.pattern = a.pattern AND o.category <> a.category) AS oh, (SELECT sum(n) FROM c o WHERE o.pattern = a.pattern AND o.category <> a.category) AS onn, count(*) FILTER (hits > 0) OVER (PARTITION BY pattern) AS breadth FROM c a)
-    SELECT *, rate - max_other AS gap, greatest(rate - max_other, 0) * log2(1 + enrichment) * sqrt(rate) AS quality FROM (SELECT pattern, category, hits, n, rate, max_other, breadth, CAST(oh AS DOUBLE) / onn AS negative_rate, ((hits + 0.5e0) / (n + 1)) / ((oh + 0.5e0) / (onn + 1)) AS enrichment FROM x) AS y""",
-    "rate max_other negative_rate enrichment gap quality",
-)
+_ASSESSED = f"""WITH c AS (SELECT pattern, category, count(*) FILTER (hit) AS hits, count(*) AS n FROM {_LONG} AS l GROUP BY 1, 2),
+    x AS (SELECT a.*, hits / n AS rate, (SELECT max(hits / n) FROM c o WHERE o.pattern = a.pattern AND o.category <> a.category) AS max_other, (SELECT sum(hits) FROM c o WHERE o.pattern = a.pattern AND o.category <> a.category) AS oh, (SELECT sum(n) FROM c o WHERE o.pattern = a.pattern AND o.category <> a.category) AS onn, (SELECT count(*) FROM c o WHERE o.pattern = a.pattern AND o.category <> a.category AND hits / n >= 0.01e0) AS breadth FROM c a)
+    SELECT *, rate - max_other AS gap, greatest(rate - max_other, 0) * log2(1 + enrichment) * sqrt(rate) AS quality FROM (SELECT pattern, category, hits, n, rate, max_other, breadth, CAST(oh AS DOUBLE) / onn AS negative_rate, ((hits + 0.5e0) / (n + 1)) / ((oh + 0.5e0) / (onn + 1)) AS enrichment FROM x) AS y"""
+
+
+@query(_ASSESSED, "rate max_other negative_rate enrichment gap quality")
 def pattern_assessment(spark, d):
     return patterns.assess(part(spark, d), _FLAGS, "category")
 
 
+@query(
+    f"""SELECT pattern, category, CASE WHEN reason = '' AND place > 1 THEN 'max_patterns' ELSE reason END AS rejection_reason, reason = '' AND place <= 1 AS selected, CASE WHEN reason = '' AND place > 1 THEN 0e0 ELSE quality END AS weight FROM (
+    SELECT *, row_number() OVER (PARTITION BY category ORDER BY reason <> '', quality DESC, rate DESC, pattern) AS place FROM (
+    SELECT *, array_to_string(list_filter([CASE WHEN NOT breadth <= 6 THEN 'category_breadth' END, CASE WHEN NOT enrichment >= 1.01e0 THEN 'enrichment' END, CASE WHEN NOT quality > 0 THEN 'nonpositive_quality' END, CASE WHEN NOT hits >= 30 THEN 'positive_count' END, CASE WHEN NOT rate >= 0.01e0 THEN 'positive_prevalence' END, CASE WHEN NOT gap >= 0.001e0 THEN 'specificity_gap' END], lambda x: x IS NOT NULL), ';') AS reason FROM ({_ASSESSED}) AS a) AS b) AS c""",
+    "weight",
+)
+def pattern_gates(spark, d):
+    rows = patterns.assess(part(spark, d), _FLAGS, "category")
+    return patterns.gate_patterns(rows, ["category"], 30, 0.01, 1.01, 0.001, 6, 1).select("pattern", "category", "rejection_reason", "selected", "weight")
+
+
 @query("SELECT s_suppkey, array_to_string(list_sort(list_filter([CASE WHEN NOT s_acctbal >= 0 THEN 'negative_balance' END, CASE WHEN NOT s_nationkey < 15 THEN 'far' END, CASE WHEN NOT s_acctbal < 8000 THEN 'large' END], lambda x: x IS NOT NULL)), ';') AS failures FROM supplier")
 def gate_reasons(spark, d):
     gates = {"negative_balance": F.col("s_acctbal") >= 0, "far": F.col("s_nationkey") < 15, "large": F.col("s_acctbal") < 8000}
@@ -138,9 +149,23 @@ def unit_candidates(spark, d):
     return _candidates(spark, d)
 
 
-@query(f"SELECT category, count(*) AS units, avg(CASE WHEN breadth = 1 THEN 1e0 ELSE 0e0 END) AS exclusive, avg(CASE WHEN breadth > 1 THEN 1e0 ELSE 0e0 END) AS shared, avg(CASE WHEN breadth >= 3 THEN 1e0 ELSE 0e0 END) AS in_three, avg(breadth) AS mean_breadth FROM {_CANDIDATES} AS c GROUP BY 1", "exclusive shared in_three mean_breadth")
+_METHODS = "(SELECT 'word' AS method, p_partkey AS e, p_type AS category, unnest(string_split(p_name, ' ')) AS unit FROM part UNION ALL SELECT 'brand', p_partkey, p_type, p_brand FROM part UNION ALL SELECT 'hybrid', p_partkey, p_type, unnest(string_split(p_name, ' ') || [p_brand]) FROM part)"
+
+
+@query(
+    f"""WITH u AS (SELECT DISTINCT * FROM {_METHODS} AS m), kept AS (SELECT method, unit FROM u GROUP BY 1, 2 HAVING count(*) >= 40), k AS (SELECT u.* FROM u JOIN kept USING (method, unit)), c AS (SELECT method, category, unit FROM k GROUP BY 1, 2, 3 HAVING count(*) >= 12),
+    b AS (SELECT method, unit, (SELECT count(*) FROM c WHERE c.method = kept.method AND c.unit = kept.unit) AS b FROM kept), z AS (SELECT DISTINCT p_type AS category FROM part),
+    j AS (SELECT m.method, avg(CASE WHEN n > 0 THEN s / n ELSE 0 END) AS jac FROM (SELECT m.method, x.category AS a, y.category AS bb, (SELECT count(*) FROM c p JOIN c q USING (method, unit) WHERE p.method = m.method AND p.category = x.category AND q.category = y.category) AS s, (SELECT count(DISTINCT unit) FROM c WHERE c.method = m.method AND c.category IN (x.category, y.category)) AS n FROM (SELECT DISTINCT method FROM kept) m, z x, z y WHERE x.category < y.category) AS m GROUP BY 1)
+    SELECT b.method, count(*) AS units, avg(CASE WHEN b = 1 THEN 1e0 ELSE 0e0 END) AS exclusive, avg(CASE WHEN b > 1 THEN 1e0 ELSE 0e0 END) AS shared, avg(CASE WHEN b >= 3 THEN 1e0 ELSE 0e0 END) AS in_three, avg(b) AS mean_breadth, max((SELECT count(DISTINCT e) FROM k WHERE k.method = b.method)) AS coverage, max(jac) AS mean_pairwise_jaccard, (SELECT count(*) FROM part) AS entities,
+      max((SELECT count(DISTINCT e) FROM k WHERE k.method = b.method)) / (SELECT count(*) FROM part) AS coverage_fraction FROM b JOIN j USING (method) GROUP BY 1""",
+    "exclusive shared in_three mean_breadth mean_pairwise_jaccard coverage_fraction",
+)
 def candidate_summary(spark, d):
-    return patterns.candidate_summary(_candidates(spark, d))
+    rows = t(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("category"), F.split("p_name", " ").alias("word"), F.array("p_brand").alias("brand"))
+    rows = rows.withColumn("hybrid", F.array_union("word", "brand"))
+    units = rows.select("entity_id", "category", F.explode(F.create_map(*(x for m in ("word", "brand", "hybrid") for x in (F.lit(m), F.col(m)))))).select("entity_id", "category", F.col("key").alias("method"), F.explode("value").alias("unit")).distinct()
+    retained = units.groupBy("method", "unit").agg(F.count("*").alias("n")).where("n >= 40")
+    return patterns.candidate_summary(units, retained, rows.groupBy("category").agg(F.count("*").alias("total")), 12)
 
 
 @query("SELECT pattern, count(DISTINCT model_id) AS models, count(DISTINCT category) AS categories, string_agg(DISTINCT model_id, ';' ORDER BY model_id) AS model_ids, string_agg(DISTINCT category, ';' ORDER BY category) AS category_names, count(DISTINCT model_id) > 1 AS shared FROM (SELECT p_name AS pattern, p_brand AS model_id, p_type AS category FROM part) AS q GROUP BY 1")
@@ -177,14 +202,23 @@ def keep_unlike(spark, d):
     return similarity.keep_unlike(v.where("label <> 0"), v.where("label = 0"), "vec_id", "vec_id", "features", 0.45).select("vec_id")
 
 
-@query(
-    f"""WITH p AS (SELECT a.vec_id AS a, b.label AS c, max(len(list_intersect(a.f, b.f)) / (len(a.f) + len(b.f) - len(list_intersect(a.f, b.f)))) AS s FROM {_VEC} AS a JOIN {_VEC} AS b ON a.label >= 5 AND b.label < 5 AND len(list_intersect(a.f, b.f)) > 0 GROUP BY 1, 2)
-    SELECT v.vec_id, (SELECT c FROM p WHERE a = v.vec_id ORDER BY s DESC, c LIMIT 1) AS nearest, coalesce((SELECT max(s) FROM p WHERE a = v.vec_id), 0) AS similarity FROM {_VEC} AS v WHERE v.label >= 5""",
-    "similarity",
-)
-def nearest_category(spark, d):
+_NEAREST = f"""WITH p AS (SELECT a.vec_id AS a, b.label AS c, max(len(list_intersect(a.f, b.f)) / (len(a.f) + len(b.f) - len(list_intersect(a.f, b.f)))) AS s FROM {_VEC} AS a JOIN {_VEC} AS b ON a.label >= 5 AND b.label < 5 AND len(list_intersect(a.f, b.f)) > 0 GROUP BY 1, 2)
+    SELECT v.vec_id, (SELECT c FROM p WHERE a = v.vec_id ORDER BY s DESC, list_position([3, 1, 4, 0, 2], c) LIMIT 1) AS nearest, coalesce((SELECT max(s) FROM p WHERE a = v.vec_id), 0) AS similarity FROM {_VEC} AS v WHERE v.label >= 5"""
+
+
+def _nearest(spark, d):
     v = _vectors(spark, d)
-    return similarity.nearest_category(v.where("label >= 5"), v.where("label < 5"), "vec_id", "vec_id", "features", "label")
+    return similarity.nearest_category(v.where("label >= 5"), v.where("label < 5"), "vec_id", "vec_id", "features", "label", [3, 1, 4, 0, 2])
+
+
+@query(_NEAREST, "similarity")
+def nearest_category(spark, d):
+    return _nearest(spark, d)
+
+
+@query(f"SELECT nearest, len(l) AS n, l[len(l) // 2 + 1] AS median FROM (SELECT nearest, list_sort(list(similarity)) AS l FROM ({_NEAREST}) AS q GROUP BY 1) AS z", "median")
+def nearest_category_summary(spark, d):
+    return similarity.upper_median(_nearest(spark, d), ["nearest"], "similarity")
 
 
 _L2 = "WITH s AS (SELECT quantile_cont(p_size, 0.5) AS c1, quantile_cont(p_size, 0.75) - quantile_cont(p_size, 0.25) AS s1, quantile_cont(p_retailprice, 0.5) AS c2, quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25) AS s2 FROM part WHERE p_type = 'PROMO')"
@@ -199,12 +233,12 @@ def property_matched_l2(spark, d):
 @query(
     """WITH a AS (SELECT list_sort(list(CAST(p_size AS DOUBLE))) AS u, list_sort(list(p_retailprice)) AS v, count(*) AS n FROM part WHERE p_type = 'PROMO'),
     s AS (SELECT u[n // 2 + 1] AS c1, greatest(u[CAST(floor(0.75e0 * (n - 1)) AS BIGINT) + 1] - u[CAST(floor(0.25e0 * (n - 1)) AS BIGINT) + 1], 1) AS s1, v[n // 2 + 1] AS c2, greatest(v[CAST(floor(0.75e0 * (n - 1)) AS BIGINT) + 1] - v[CAST(floor(0.25e0 * (n - 1)) AS BIGINT) + 1], 1) AS s2 FROM a)
-    SELECT p_partkey AS entity_id, (abs(p_size - c1) / s1 + abs(p_retailprice - c2) / s2) / 2 AS distance FROM part, s WHERE p_type <> 'PROMO' ORDER BY distance, length(CAST(p_partkey AS VARCHAR)), p_partkey LIMIT 50""",
+    SELECT p_partkey AS entity_id, (abs(p_size - c1) / s1 + abs(p_retailprice - c2) / s2) / 2 AS distance FROM part, s WHERE p_type <> 'PROMO' ORDER BY distance, length(CAST(p_partkey AS VARCHAR)), p_partkey * 7919 % 1000003 LIMIT 50""",
     "distance",
 )
 def property_matched_l1(spark, d):
-    rows = part(spark, d)
-    return similarity.matched_l1(rows.where("category <> 'PROMO'"), rows.where("category = 'PROMO'"), "entity_id", ["p_size", "p_retailprice"], 50)
+    rows = part(spark, d).withColumn("ordinal", F.col("entity_id") * 7919 % 1000003)
+    return similarity.matched_l1(rows.where("category <> 'PROMO'"), rows.where("category = 'PROMO'"), "entity_id", ["p_size", "p_retailprice"], 50, "ordinal")
 
 
 @query(
@@ -233,17 +267,17 @@ def model_pattern_jaccard(spark, d):
 
 
 def _walk_sql(steps: int) -> str:
-    parts = ["e AS (SELECT DISTINCT o_custkey AS e, l_partkey % 40 AS f FROM lineitem JOIN orders ON o_orderkey = l_orderkey)", "k AS (SELECT e, f, count(*) OVER (PARTITION BY e) AS de, count(*) OVER (PARTITION BY f) AS df FROM e)", "x0 AS (SELECT e, 1e0 / count(*) OVER () AS x, 1e0 / count(*) OVER () AS p FROM (SELECT DISTINCT e FROM e) AS q)", "y0 AS (SELECT DISTINCT f, 0e0 AS y FROM e)"]
+    parts = ["e AS (SELECT DISTINCT o_custkey AS e, l_partkey AS f FROM lineitem JOIN orders ON o_orderkey = l_orderkey)", "k AS (SELECT e, f, count(*) OVER (PARTITION BY e) AS de, count(*) OVER (PARTITION BY f) AS df FROM e)", "x0 AS (SELECT e, 1e0 / count(*) OVER () AS x, 1e0 / count(*) OVER () AS p FROM (SELECT DISTINCT e FROM e) AS q)", "y0 AS (SELECT DISTINCT f, 0e0 AS y FROM e)"]
     for i in range(steps):
-        parts.append(f"y{i + 1} AS (SELECT f, sum(x / de) AS y FROM k JOIN x{i} USING (e) GROUP BY 1)")
+        parts.append(f"y{i + 1} AS (SELECT f, 0.85e0 * sum(x / de) AS y FROM k JOIN x{i} USING (e) GROUP BY 1)")
         parts.append(f"x{i + 1} AS (SELECT x.e, 0.15e0 * x.p + 0.85e0 * coalesce(g, 0) AS x, x.p FROM x{i} x LEFT JOIN (SELECT e, sum(y / df) AS g FROM k JOIN y{i} USING (f) GROUP BY 1) AS h USING (e))")
     return f"WITH {', '.join(parts)} SELECT f, y / sum(y) OVER () AS score FROM y{steps}"
 
 
 @query(_walk_sql(6), "score", digits=9)
 def bipartite_pagerank(spark, d):
-    edges = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("e"), (F.col("l_partkey") % 40).alias("f"))
-    return graph.bipartite_walk(edges, "e", "f", iterations=6)
+    edges = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("e"), F.col("l_partkey").alias("f"))
+    return graph.bipartite_walk(edges, "e", "f", iterations=6, tolerance=None)
 
 
 @query()
@@ -277,8 +311,9 @@ def fit_properties(spark, d):
 
 _GRID = f"""(WITH s AS (SELECT CAST(k AS DOUBLE) / 20 AS w, positive, round(CAST(k AS DOUBLE) / 20 * score + (1 - CAST(k AS DOUBLE) / 20) * (doc_id % 7) / 7e0, 9) AS score FROM {SCORED} AS z, range(0, 21) AS r(k)),
     h AS (SELECT w, score, CAST(count(*) FILTER (positive) AS DOUBLE) AS p, CAST(count(*) FILTER (NOT positive) AS DOUBLE) AS n FROM s GROUP BY 1, 2), c AS (SELECT *, sum(p) OVER d AS tp, sum(n) OVER d AS fp, sum(p) OVER a AS pos, sum(n) OVER a AS neg FROM h WINDOW d AS (PARTITION BY w ORDER BY score DESC), a AS (PARTITION BY w)),
-    r AS (SELECT *, (tp / pos + (neg - fp) / neg) / 2 AS ba, CASE WHEN (tp + fp) * pos * neg * (pos + neg - tp - fp) > 0 THEN (tp * (neg - fp) - fp * (pos - tp)) / sqrt((tp + fp) * pos * neg * (pos + neg - tp - fp)) ELSE 0 END AS mcc FROM c)
-    SELECT w, sum(p * (neg - fp + n / 2)) / (max(pos) * max(neg)) AS auc, arg_max(score, (round(ba, 12), round(mcc, 12), -abs(score - 0.5e0), -score)) AS threshold, max(ba) AS balanced_accuracy FROM r GROUP BY w)"""
+    r AS (SELECT *, (tp / pos + (neg - fp) / neg) / 2 AS ba, CASE WHEN (tp + fp) * pos * neg * (pos + neg - tp - fp) > 0 THEN (tp * (neg - fp) - fp * (pos - tp)) / sqrt((tp + fp) * pos * neg * (pos + neg - tp - fp)) ELSE 0 END AS mcc FROM c),
+    x AS (SELECT w, score, ba, mcc FROM r UNION ALL SELECT w, nextafter(max(score), CAST('Infinity' AS DOUBLE)), 0.5e0, 0e0 FROM r GROUP BY w)
+    SELECT w, auc, threshold, balanced_accuracy, mcc FROM (SELECT w, sum(p * (neg - fp + n / 2)) / (max(pos) * max(neg)) AS auc FROM r GROUP BY w) AS a JOIN (SELECT w, arg_max(score, {_BEST_KEY}) AS threshold, max(ba) AS balanced_accuracy, arg_max(mcc, {_BEST_KEY}) AS mcc FROM x GROUP BY w) AS b USING (w))"""
 
 
 def _grid(spark, d):
@@ -286,7 +321,7 @@ def _grid(spark, d):
     return validation.weight_grid(rows, [], "first", "second", "positive")
 
 
-@query(f"SELECT * FROM {_GRID} AS g", "w auc threshold balanced_accuracy")
+@query(f"SELECT * FROM {_GRID} AS g", "w auc threshold balanced_accuracy mcc")
 def weight_grid(spark, d):
     return _grid(spark, d)
 
@@ -322,19 +357,26 @@ def delta_to_baseline(spark, d):
     return validation.delta_to_baseline(rows, ["p_brand"], "p_type", "ECONOMY", ["m"])
 
 
-@query("SELECT p_brand, CASE WHEN n < 30 THEN 'too_few' WHEN a >= 0.8e0 AND b >= 0.75e0 THEN 'strong' WHEN a >= 0.7e0 AND b >= 0.65e0 THEN 'usable' WHEN a >= 0.6e0 THEN 'weak' ELSE 'rejected' END AS decision FROM (SELECT p_brand, count(*) AS n, avg(p_size) / 35e0 AS a, max(p_size) / 60e0 AS b FROM part GROUP BY 1) AS q")
+@query("SELECT key, CASE WHEN n < 25 THEN 'insufficient_positive_examples' WHEN a IS NULL OR b IS NULL THEN 'build_failed' WHEN released THEN 'existing_release_line' WHEN a >= 0.9e0 AND b >= 0.8e0 AND n >= 100 THEN 'strong_release_candidate' WHEN a >= 0.8e0 AND b >= 0.75e0 AND n >= 100 THEN 'release_candidate' WHEN a >= 0.7e0 THEN 'experimental_revisit' ELSE 'reject_for_now' END AS decision FROM (SELECT p_brand || '/' || (p_partkey % 13) AS key, count(*) * (min(p_partkey) % 13) AS n, CASE WHEN min(p_partkey) % 7 <> 0 THEN 0.6e0 + (min(p_partkey) % 5) * 0.1e0 END AS a, max(p_size) / 60e0 AS b, min(p_partkey) % 6 = 0 AS released FROM part GROUP BY 1) AS q")
 def build_decision(spark, d):
-    rows = t(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), (F.avg("p_size") / F.lit(35.0)).alias("a"), (F.max("p_size") / F.lit(60.0)).alias("b"))
-    return rows.select("p_brand", validation.decision_label(F.col("a"), F.col("b"), F.col("n")).alias("decision"))
+    least = F.min("p_partkey")
+    rows = t(spark, d, "part").groupBy(F.concat_ws("/", "p_brand", (F.col("p_partkey") % 13).cast("string")).alias("key")).agg((F.count("*") * (least % 13)).alias("n"), F.when(least % 7 != 0, F.lit(0.6) + (least % 5) * F.lit(0.1)).alias("a"), (F.max("p_size") / F.lit(60.0)).alias("b"), (least % 6 == 0).alias("released"))
+    return rows.select("key", validation.decision_label(F.col("a"), F.col("b"), F.col("n"), F.col("released")).alias("decision"))
 
 
 _ABL = f"(SELECT lang, positive, unnest(['score', 'second']) AS component, unnest([score, round((doc_id % 7) / 7e0, 9)]) AS v FROM {SCORED} AS s)"
 
 
-@query(f"SELECT lang, component, coalesce(auc, 0e0) AS auc FROM (SELECT DISTINCT lang, component FROM {_ABL} AS g) AS g LEFT JOIN (SELECT a.lang, a.component, avg(CASE WHEN a.v > b.v THEN 1e0 WHEN a.v = b.v THEN 0.5e0 ELSE 0e0 END) AS auc FROM {_ABL} AS a JOIN {_ABL} AS b ON a.lang = b.lang AND a.component = b.component AND a.positive AND NOT b.positive GROUP BY 1, 2) AS q USING (lang, component)", "auc")
+@query(
+    f"""WITH h AS (SELECT lang, component, v AS score, CAST(count(*) FILTER (positive) AS DOUBLE) AS p, CAST(count(*) FILTER (NOT positive) AS DOUBLE) AS n FROM {_ABL} AS a GROUP BY 1, 2, 3), c AS (SELECT *, sum(p) OVER d AS tp, sum(n) OVER d AS fp, sum(p) OVER a AS pos, sum(n) OVER a AS neg FROM h WINDOW d AS (PARTITION BY lang, component ORDER BY score DESC), a AS (PARTITION BY lang, component)),
+    r AS (SELECT *, (CASE WHEN pos > 0 THEN tp / pos ELSE 0 END + CASE WHEN neg > 0 THEN (neg - fp) / neg ELSE 0 END) / 2 AS ba, CASE WHEN (tp + fp) * pos * neg * (pos + neg - tp - fp) > 0 THEN (tp * (neg - fp) - fp * (pos - tp)) / sqrt((tp + fp) * pos * neg * (pos + neg - tp - fp)) ELSE 0 END AS mcc FROM c),
+    x AS (SELECT lang, component, score, ba, mcc FROM r UNION ALL SELECT lang, component, nextafter(max(score), CAST('Infinity' AS DOUBLE)), max(CASE WHEN neg > 0 THEN 0.5e0 ELSE 0e0 END), 0e0 FROM r GROUP BY 1, 2)
+    SELECT lang, component, auc, threshold, balanced_accuracy, mcc FROM (SELECT lang, component, CASE WHEN max(pos) > 0 AND max(neg) > 0 THEN sum(p * (neg - fp + n / 2)) / (max(pos) * max(neg)) ELSE 0e0 END AS auc FROM r GROUP BY 1, 2) AS a JOIN (SELECT lang, component, arg_max(score, {_BEST_KEY}) AS threshold, max(ba) AS balanced_accuracy, arg_max(mcc, {_BEST_KEY}) AS mcc FROM x GROUP BY 1, 2) AS b USING (lang, component)""",
+    "auc threshold balanced_accuracy mcc",
+)
 def component_ablation(spark, d):
     rows = scored(spark, d).withColumn("second", F.round((F.col("doc_id") % 7) / F.lit(7.0), 9))
-    return validation.ablation(rows, ["lang"], ["score", "second"], "positive").select("lang", "component", "auc")
+    return validation.ablation(rows, ["lang"], ["score", "second"], "positive")
 
 
 @query("SELECT p_type, count(x) AS n FROM (SELECT p_type, 1 AS x FROM part WHERE p_size < 10 UNION ALL SELECT p_type, 1 FROM part WHERE p_size > 40) AS q GROUP BY 1")

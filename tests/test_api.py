@@ -33,3 +33,22 @@ def test_batch_file(spark, folder, tmp_path):
     rows = {r["name"]: r for r in spark.read.option("header", True).csv(str(tmp_path / "out")).collect()}
     assert rows["x"]["best_score"] == "1.000000" and rows["x"]["product_positive_count"] == "1"
     assert rows["y"]["best_category"] is None
+    assert rows["y"]["best_decision"] == "invalid input" and rows["y"]["best_valid"] == "false" and rows["y"]["representative"] == "unresolved"
+    assert len(rows["x"].asDict()) == 2 + 18
+
+
+def test_one_text(spark, folder, capsys):
+    from tessera.features import TextFeatures
+
+    provider_of = lambda i, t: TextFeatures(i, t, "__category")
+    models = scoring.load_models(folder)
+    assert [r["model_id"] for r in api.score_all(spark, "two words 1", models, provider_of)] == ["a", "b"]
+    assert api.score(spark, "two words 1", models[0], provider_of) == 1.0 and api.score(spark, " ", models[0], provider_of) is None
+    with pytest.raises(TypeError):
+        api.score(spark, None, models[0], provider_of)
+    assert api.category_scorers(spark, models, provider_of)["cat a"]("words") == 0.0
+    assert api.model_labels(folder)[1] == {"model_id": "b", "category": "cat b", "role": "hidden"}
+    assert cli.main(["--models", folder, "--score", "two words 1"]) == 0 and capsys.readouterr().out.split("\t")[:3] == ["a", "cat a", "1.000000"]
+    assert cli.main(["--models", folder, "--score-all", "two words 1", "--model-id", "a", "--model-id", "b"]) == 0 and len(capsys.readouterr().out.splitlines()) == 2
+    assert cli.main(["--models", folder, "--self-test"]) == 0 and capsys.readouterr().out == "ok\n"
+    assert api.self_test(spark, [], provider_of) == ["no models"]

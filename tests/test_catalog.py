@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalog, catalog_sets  # noqa: F401
+from tessera.plans import catalog, catalog_reports, catalog_sets  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -53,7 +53,12 @@ def test_auc_ties_and_one_class(spark):
 
 def test_no_threshold_under_cap(spark):
     h = _hist(spark, [("a", 0.5, True), ("a", 0.5, False)])
-    assert one(metrics.fpr_threshold(h, ["g"], 0.1), "threshold") is None
+
+    got = metrics.fpr_threshold(h, ["g"], 0.1).first()
+    assert (got.threshold, got.tpr) == (math.nextafter(0.5, math.inf), 0.0)
+    best = metrics.best_threshold(_hist(spark, [("a", 0.9, False), ("a", 0.2, True)]), ["g"]).first()
+    assert (best.threshold, best.balanced_accuracy) == (0.2, 0.5)  # the double above 0.9 takes no row, and is further from 0.5
+    assert metrics.best_threshold(_hist(spark, [("a", 0.4, False)]), ["g"]).first().threshold == math.nextafter(0.4, math.inf)
 
 
 def test_jaccard_of_empty_sets(spark):
@@ -69,10 +74,10 @@ def test_hash_sample_is_stable_under_order_and_partitions(spark):
 
 
 def test_audit_statuses(spark):
-    sets = spark.createDataFrame([("x1", "p1", "target_positive"), ("x2", "p2", "target_negative")], "x string, par string, scope string")
-    rows = spark.createDataFrame([(1, "x1", "p1"), (2, "y", "p1"), (3, "z", "p9"), (4, "z2", "p9"), (5, None, None), (6, "x2", "p2")], "i long, x string, par string")
+    sets = spark.createDataFrame([("x1", "p1", "target_positive"), ("x2", "p2", "target_negative"), ("x7", "p3", "other")], "x string, par string, scope string")
+    rows = spark.createDataFrame([(1, "x1", "p1"), (2, "y", "p1"), (3, "z", "p9"), (4, "z2", "p9"), (5, None, None), (6, "x2", "p2"), (7, "x7", "p1")], "i long, x string, par string")
     got = {r.i: (r.status, r.overlap_basis) for r in membership.external_audit(rows, sets, "i", "x", "par").collect()}
-    assert got == {1: ("overlap_excluded", "exact"), 2: ("overlap_excluded", "parent"), 3: ("true_external_candidate", None), 4: ("duplicate_external_excluded", None), 5: ("unresolved", None), 6: ("overlap_excluded", "exact")}
+    assert got == {1: ("overlap_excluded", "exact"), 2: ("overlap_excluded", "parent"), 3: ("true_external_candidate", "none"), 4: ("duplicate_external_excluded", "none"), 5: ("unresolved", None), 6: ("overlap_excluded", "exact"), 7: ("overlap_excluded", "exact")}  # 7: an exact match in any scope comes first
 
 
 def test_keep_unlike_without_reference(spark):
@@ -96,18 +101,17 @@ def test_walk_against_power_iteration(spark):
     import numpy as np
 
     edges = [("a", 1), ("a", 2), ("b", 2), ("c", 3)]
-    got = {r.f: r.score for r in graph.bipartite_walk(spark.createDataFrame(edges, "e string, f long"), "e", "f", iterations=7).collect()}
+    got = {r.f: r.score for r in graph.bipartite_walk(spark.createDataFrame(edges, "e string, f long"), "e", "f", iterations=7, tolerance=None).collect()}
     m = np.zeros((3, 3))
     for e, f in edges:
         m["abc".index(e), f - 1] = 1
     x, y, p = np.full(3, 1 / 3), np.zeros(3), np.full(3, 1 / 3)
     for _ in range(7):
-        x, y = 0.15 * p + 0.85 * (m / m.sum(0)) @ y, (m / m.sum(1)[:, None]).T @ x
+        x, y = 0.15 * p + 0.85 * (m / m.sum(0)) @ y, 0.85 * (m / m.sum(1)[:, None]).T @ x
     assert [got[k] for k in (1, 2, 3)] == pytest.approx(list(y / y.sum()))
 
 
 def test_network_patterns_against_dense_walks(spark):
-    import math
     import random
 
     import numpy as np
@@ -180,3 +184,52 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.entity_id: r.score for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r.entity_id: r.score for r in scoring.score_all(rows, [m], "id").collect()}
     assert math.isclose(sum(got.values()), 7.0)
+
+
+def test_kde_overlap_against_sums_of_kernels(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    p, n = r.normal(0.6, 0.1, 40).round(2), r.normal(0.4, 0.15, 60).round(2)
+    rows = [("a", float(x), True) for x in p] + [("a", float(x), False) for x in n]
+    got = metrics.kde_overlap(spark.createDataFrame(rows, "g string, score double, positive boolean"), ["g"]).first().overlap
+    grid = np.linspace(-0.05, 1.05, 2000)
+    density = []
+    for x in (p, n):
+        h = x.std(ddof=1) * len(x) ** -0.2
+        d = np.exp(-0.5 * ((grid[:, None] - x) / h) ** 2).sum(1)
+        density.append(d / np.trapezoid(d, grid))
+    assert got == pytest.approx(np.trapezoid(np.minimum(*density), grid), abs=1e-9)
+
+
+def test_bootstraps_surround_the_estimate(spark):
+    from tessera.operators import construction, validation
+
+    rows = [("a", i / 50, i % 50 > 20 + (i * 7) % 19) for i in range(100)]
+    df = spark.createDataFrame(rows, "g string, score double, positive boolean")
+    h = metrics.histogram(df, ["g"])
+    auc = one(metrics.roc_auc(h, ["g"]), "auc")
+    got = validation.bootstrap_auc(h, ["g"], 200, 1).first()
+    assert got.low < auc < got.high and abs(got.mid - auc) < 0.02
+    pairs = df.withColumn("base", F.lit(0.5))
+    d = construction.paired_bootstrap(pairs, ["g"], "score", "base", "positive", 0.9, 0.5, 200, 1).first()
+    assert d.delta_auc_lower < auc - 0.5 < d.delta_auc_upper
+    assert construction.paired_bootstrap(pairs, ["g"], "score", "base", "positive", 0.9, 0.5, 0, 1).first().delta_auc_median != 0  # NaN
+    same = construction.paired_bootstrap(pairs, ["g"], "score", "score", "positive", 0.9, 0.9, 50, 1).first()
+    assert (same.delta_auc_lower, same.delta_balanced_accuracy_upper) == (0.0, 0.0)
+
+
+def test_neighbour_clusters_by_hand(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (4, 5)], "a long, b long")
+    items = spark.createDataFrame([(i,) for i in range(1, 7)], "k long")
+    got = {r.item: r.centre for r in similarity.neighbour_clusters(pairs, items, "k").collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6}
+
+
+def test_promotion_failures_in_order(spark):
+    from tessera.operators import construction
+
+    good = {"seed_count": 3, "all_won_validation": True, "all_structural": True, "worst_auc": 0.9, "worst_balanced_accuracy": 0.8, "delta_auc_fixed": 0.02, "delta_balanced_accuracy_fixed": 0.02, "delta_auc_property": 0.02, "delta_balanced_accuracy_property": 0.02, "least_auc_ci": 0.01, "least_balanced_accuracy_ci": 0.01, "mean_specificity_gap": 0.2, "worst_off_target": 0.1, "method_consistency": 1.0, "pattern_stability": 0.5}
+    bad = good | {"seed_count": 2, "least_auc_ci": float("nan"), "worst_off_target": 0.7, "pattern_stability": 0.1}
+    got = [r.failure_reasons for r in construction.promotion_failures(spark.createDataFrame([good, bad])).orderBy("seed_count").collect()]
+    assert got == ["insufficient_scaffold_seeds;paired_auc_ci_not_positive;cross_category_off_target_rate;selected_pattern_instability", ""]
