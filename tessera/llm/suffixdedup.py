@@ -1,19 +1,24 @@
 """Exact substring dedup over bytes by sorted suffixes of shards.
 
-Shards: a window of WINDOW bytes belongs to the shard of its anchor (the least
-hash among its runs of ANCHOR bytes, see `repeats`), so equal windows meet in one
-shard.  A shard gets, for each place of an anchor, the bytes of the windows that
-have it there.  Only stretches that the anchors can't clear are sent at all, and
-equal byte strings of one Arrow batch, or of one shard, are taken once: all but
-the first of them hold windows that start earlier.
+Pieces: a window of WINDOW bytes belongs to its anchor, the least hash among its
+runs of ANCHOR bytes (see `repeats`); the windows with one anchor at one place are
+a piece of at most 2 * WINDOW - ANCHOR bytes.  Equal windows have equal anchors, so
+all that is asked of a window is settled among the pieces of its anchor.
+
+First the pieces go by their anchor's hash and their content's, without bytes.
+Where an anchor has one content only, its first piece by (doc_id, start) stays and
+all others hold windows that start earlier.  Only where it has several, one piece of
+each content is sent with its bytes, to the shard of the anchor: what is sent grows
+with the different surroundings of repeats and not with the copies.
 
 Each shard sorts its suffixes with common prefixes by external induced sorting
 (`suffix`): in the order of the suffixes, runs whose common prefix reaches WINDOW
 are equal windows; the first by (doc_id, start) stays, the others' bytes go.
 
-Memory of a task: its queues are on disk beyond a bound; the text of a shard and
-its type bits are one array.  Shards are as many as the session's shuffle
-partitions.
+Memory of a task: a shard's bytes, its suffixes and their queues are in files of
+the task beyond `memory` bytes; four numbers for each piece are in memory.  Shards
+are as many as the session's shuffle partitions.  Contents are told apart by 64-bit
+hashes of at most 168 bytes, windows by their bytes.
 
 Defined cases: a null text is empty; rows without a doc_id keep all bytes; rows
 with one doc_id and different texts count as one document, equal starts as not
@@ -26,149 +31,138 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as T
 from tessera.llm import repeats as R
 from tessera.llm._session import cut
-from tessera.llm.suffix import suffixes
+from tessera.llm.suffix import MEMORY, Shard
 from tessera.llm.tokens import spread
 
 WINDOW, ANCHOR = 100, 32
-_SHIPPED = "shard_key long, later boolean, doc_id long, th int, lo int, hi int, piece binary"
+#: Pieces that a task gathers before it tells the equal ones among them apart.
+BUFFER = 300_000
+_PLACED = "key long, content long, doc_id long, th int, place long"  # place: start, further starts, and whether it is known to be later
+_SHIPPED = "key long, doc_id long, th int, lo int, piece binary"
 _SPANS = "doc_id long, th int, lo int, hi int"
 
 
-def pieces(rows: DataFrame, ranges: DataFrame, window: int, k: int) -> DataFrame:
-    """The bytes around every place of an anchor in the candidate stretches; known repeats go without them."""
+def placed(rows: DataFrame, window: int, k: int) -> DataFrame:
+    """Anchor, content and place of every piece; of the equal ones in a buffer one stands for all, and the others go as known ranges."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[R.Columns]:
+        for batch in batches:
+            data, offsets = T.utf8(batch["text"])
+            docs, ths = np.asarray(batch["doc_id"]), np.asarray(batch["th"])
+            for a, b in T.steps(data, offsets):
+                body, of = T.sub(data, offsets, a, b)
+                key, text, lo, hi = R.segments(T.BYTE_TABLE[body], of, window, k)
+                content = T.hash_ranges(body, of[text] + lo, of[text] + hi + window)
+                yield key, content, docs[a:b][text], ths[a:b][text], lo.astype(np.int32), (hi - lo).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, content, doc, th, lo, more in R.buffered(found(batches), BUFFER):
+            order = np.lexsort((lo, doc, content))
+            key, content, doc, th, lo, more = (x[order] for x in (key, content, doc, th, lo, more))
+            fresh = np.append(True, content[1:] != content[:-1])[: len(content)]
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(content)), 0))
+            later = (doc > doc[first]) | (lo > lo[first])
+            who, start, end = R.merged(doc[later], th[later], lo[later], lo[later] + more[later])
+            spread_key = T.as_long(R.spread_key(who[0], start))
+            wide = start.astype(np.int64) << 33 | (end - start).astype(np.int64) << 2
+            own = lo[~later].astype(np.int64) << 33 | more[~later].astype(np.int64) << 2
+            columns = np.append(T.as_long(key[~later]), spread_key), np.append(T.as_long(content[~later]), spread_key), np.append(doc[~later], who[0]), np.append(th[~later], who[1]), np.append(own, wide | 1)
+            yield from R.batches(columns, _PLACED)
+
+    return rows.mapInArrow(run, _PLACED)
+
+
+def settled(found: DataFrame) -> DataFrame:
+    """doc_id, th, lo, hi and `ship` of pieces known to be later (ship: false), and of those whose anchor has other contents too (true).
+
+    A spread key may equal an anchor's by chance; that only ships a piece too many.
+    """
+    lo, more = F.expr("cast(shiftrightunsigned(place, 33) as int)"), F.expr("cast(shiftrightunsigned(place, 2) & 2147483647 as int)")
+    known = F.expr("place & 1 = 1")
+    same = W.partitionBy("key")
+    several = found.withColumn("n", F.count("*").over(same)).withColumn("a", F.min("content").over(same)).withColumn("b", F.max("content").over(same)).where(known | F.expr("n > 1"))
+    first = F.min(F.when(~known, F.struct("doc_id", "place"))).over(W.partitionBy("key", "content"))
+    later = known | F.expr("doc_id > first.doc_id or shiftrightunsigned(place, 33) > shiftrightunsigned(first.place, 33)")
+    return several.withColumn("first", first).select("doc_id", "th", lo.alias("lo"), (lo + more).alias("hi"), (~later).alias("ship"), "a", "b").where("not ship or a <> b").drop("a", "b")
+
+
+def pieces(rows: DataFrame, ranges: DataFrame, window: int, k: int, small: bool) -> DataFrame:
+    """The bytes of every piece whose windows start in the given ranges, with its anchor's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = T.utf8(batch["text"])
             row, lo, hi = R.ranges_of(batch["ranges"])
-            docs = np.asarray(batch["doc_id"])
-            got = []
             for a, b in T.steps(data, offsets):
                 p, q = np.searchsorted(row, [a, b])
-                base = offsets[row[p:q]]
                 n = hi[p:q] - lo[p:q] + window
-                part = data[spread(base + lo[p:q], n)]
+                part = data[spread(offsets[row[p:q]] + lo[p:q], n)]
                 of = np.concatenate([[0], np.cumsum(n)])
                 key, stretch, first, last = R.segments(T.BYTE_TABLE[part], of, window, k)
-                start, end = of[stretch] + first, of[stretch] + last + window
-                content = T.hash_ranges(part, start, end)
-                own, at = row[p:q][stretch], lo[p:q][stretch] + first
-                got.append((key, own, at, at + last - first, content, offsets[own] + at))
-            if not got:
-                continue
-            key, own, at, upto, content, place = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.lexsort((at, docs[own], content))
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = content[order][1:] != content[order][:-1]
-            first = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(order) else order
-            later = np.zeros(len(order), bool)
-            later[order] = (docs[own[order]] > docs[own[first]]) | (at[order] > at[first])
-            mine, mine_lo, mine_hi = R.merge(own[later], at[later], upto[later])
-            sent = np.flatnonzero(~later)
-            size = upto[sent] - at[sent] + window
-            body = data[spread(place[sent], size)]
-            ends = np.concatenate([[0], np.cumsum(size), np.full(len(mine), size.sum())]).astype(np.int32)
-            binary = pa.Array.from_buffers(pa.binary(), len(sent) + len(mine), [None, pa.py_buffer(ends), pa.py_buffer(body)])
-            who = pa.array(np.concatenate([own[sent], mine]))
-            keys = np.concatenate([key[sent], R._spread(mine, mine_lo)])
-            flags = np.concatenate([np.zeros(len(sent), bool), np.ones(len(mine), bool)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(T.as_long(keys)), pa.array(flags), batch["doc_id"].take(who), batch["th"].take(who), pa.array(np.concatenate([at[sent], mine_lo]).astype(np.int32)), pa.array(np.concatenate([upto[sent], mine_hi]).astype(np.int32)), binary],
-                [x.split()[0] for x in _SHIPPED.split(", ")],
-            )
-
-    return R.with_ranges(rows, ranges, "inner").mapInArrow(run, _SHIPPED)
-
-
-def _later_in_shard(key: np.ndarray, doc: np.ndarray, th: np.ndarray, lo: np.ndarray, hi: np.ndarray, body: np.ndarray, of: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
-    """Ranges of window starts whose bytes also start earlier, among a shard's pieces."""
-
-    def rows(who: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(th[who]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], [x.split()[0] for x in _SPANS.split(", ")])
-
-    content = T.hash_ranges(body, of[:-1], of[1:])
-    order = np.lexsort((lo, doc, content))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = content[order][1:] != content[order][:-1]
-    first = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
-    later = (doc[order] > doc[first]) | (lo[order] > lo[first])
-    yield rows(order[later], lo[order[later]], hi[order[later]])
-    stay = np.sort(order[fresh])
-    # a lone piece of its anchor has nothing to share a window with
-    _, group, times = np.unique(key[stay], return_inverse=True, return_counts=True)
-    stay = stay[times[group] > 1]
-    if not len(stay):
-        return
-    size = of[stay + 1] - of[stay]
-    text = body[spread(of[stay], size)] + np.uint8(1)  # 0 is the end; UTF-8 has no 255
-    ends = np.cumsum(size)
-    opened: list[tuple[np.ndarray, np.ndarray]] = []
-    for position, common in suffixes(text, window):
-        run_starts = np.flatnonzero(common < window)
-        cuts = [0, *(run_starts[-1:].tolist() if len(run_starts) else [])]
-        if len(run_starts):  # all runs before the last one's start are whole
-            opened.append((position[: cuts[-1]], common[: cuts[-1]]))
-            yield from _runs(opened, window, stay, size, ends, doc, lo, rows)
-            opened = [(position[cuts[-1] :], common[cuts[-1] :])]
-        else:
-            opened.append((position, common))
-    yield from _runs(opened, window, stay, size, ends, doc, lo, rows)
-
-
-def _runs(parts: list, window: int, stay: np.ndarray, size: np.ndarray, ends: np.ndarray, doc: np.ndarray, lo: np.ndarray, rows) -> Iterator[pa.RecordBatch]:
-    """Of each run of equal windows, all but the first by (doc_id, start)."""
-    position, common = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    if not len(position):
-        return
-    run = np.cumsum(common < window)
-    of = np.searchsorted(ends, position, "right")
-    inner = position - (ends[of] - size[of])
-    good = inner <= size[of] - window
-    run, of, inner = run[good], of[good], inner[good]
-    who, at = stay[of], lo[stay[of]] + inner
-    order = np.lexsort((at, doc[who], run))
-    run, who, at = run[order], who[order], at[order]
-    fresh = np.ones(len(run), bool)
-    fresh[1:] = run[1:] != run[:-1]
-    head = np.maximum.accumulate(np.where(fresh, np.arange(len(run)), 0))
-    later = (doc[who] > doc[who[head]]) | (at > at[head])
-    if later.any():
-        yield rows(*R.merge(who[later], at[later], at[later]))
-
-
-def repeated_windows(rows: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
-    """doc_id, th and the ranges of window starts to remove, for texts as `repeats.identified` gives them."""
-    ranges = cut(R.candidates(rows, R.byte_items, window, k))
+                size = last - first + window
+                ends = np.concatenate([[0], np.cumsum(size)])
+                body = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(part[spread(of[stretch] + first, size)])])
+                who = pa.array(row[p:q][stretch])
+                yield pa.RecordBatch.from_arrays([pa.array(T.as_long(key)), batch["doc_id"].take(who), batch["th"].take(who), pa.array((lo[p:q][stretch] + first).astype(np.int32)), body.cast(pa.binary())], R.names(_SHIPPED))
+
+    return R.with_ranges(rows, ranges, "inner", small).mapInArrow(run, _SHIPPED)
+
+
+def shards(shipped: DataFrame, window: int, memory: int = MEMORY) -> DataFrame:
+    """Ranges of window starts whose bytes also start earlier, among the pieces of a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            later = np.asarray(batch["later"])
-            if later.any():
-                yield pa.RecordBatch.from_arrays([batch[c].filter(batch["later"]) for c in ("doc_id", "th", "lo", "hi")], ["doc_id", "th", "lo", "hi"])
-            rest = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names).filter(pa.compute.invert(batch["later"]))
-            raw, of = T.utf8_like(rest["piece"])
-            held.append((*(np.asarray(rest[c]) for c in ("shard_key", "doc_id", "th", "lo", "hi")), raw.copy(), np.diff(of)))
-        if held:
-            key, doc, th, lo, hi, body, size = (np.concatenate(x) for x in zip(*held, strict=True))
-            if len(key):
-                yield from _later_in_shard(key, doc, th, lo.astype(np.int64), hi.astype(np.int64), body, np.concatenate([[0], np.cumsum(size)]), window)
-
-    spans = pieces(rows, ranges, window, k).repartition("shard_key").mapInArrow(run, _SPANS)
-    return spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-
-
-def remove(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        with Shard(window, memory) as shard:
+            held = []
+            for batch in batches:
+                raw, of = T.utf8_like(batch["piece"])
+                shard.add(raw)
+                held.append((*(np.asarray(batch[c]) for c in ("doc_id", "th", "lo")), np.diff(of).astype(np.int32)))
+            if not held:
+                return
+            doc, th, lo, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            ends = np.cumsum(size, dtype=np.int64)
+            for position, common in shard.runs():
+                of = np.searchsorted(ends, position, "right")
+                inner = position - (ends[of] - size[of])
+                good = inner <= size[of] - window
+                of, inner, run = of[good], inner[good], np.cumsum(common < window)[good]
+                at = lo[of] + inner
+                order = np.lexsort((at, doc[of], run))
+                of, at, run = of[order], at[order], run[order]
+                fresh = np.append(True, run[1:] != run[:-1])[: len(run)]
+                first = np.maximum.accumulate(np.where(fresh, np.arange(len(run)), 0))
+                later = (doc[of] > doc[of[first]]) | (at > at[first])
+                if later.any():
+                    who, a, b = R.merged(doc[of[later]], th[of[later]], at[later], at[later])
+                    yield from R.batches((*who, a, b), _SPANS)
+
+    return shipped.repartition("key").mapInArrow(run, _SPANS)
+
+
+def remove(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, doc_id: str = "doc_id", text: str = "text", memory: int = MEMORY) -> DataFrame:
     """doc_id, the kept bytes, the numbers of bytes before and removed, and of removed runs."""
     rows = R.identified(docs, doc_id, text)
-    spans = cut(repeated_windows(rows, window, k))
+    known, others = rows.where("doc_id is not null"), rows.where("doc_id is null")
+    found = cut(settled(placed(known, window, k)))
+    ship = cut(R.gathered(found.where("ship").drop("ship")))
+    small = R.few(ship)
+    spans = R.gathered(found.where("not ship").drop("ship").unionByName(shards(pieces(known, ship, window, k, small), window, memory)))
+    if small:
+        spans = cut(spans)
+        small = R.few(spans)
+    # else the texts' exchange is the one that brought them to their pieces
+    return _without(R.with_ranges(known, spans, "left", small), window).unionByName(_without(others.withColumn("ranges", F.lit(None).cast("array<struct<lo:int,hi:int>>")), window))
+
+
+def _without(rows: DataFrame, window: int) -> DataFrame:
     schema = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +182,7 @@ def remove(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, doc_id: str =
             binary = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(body)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], binary, pa.array(n), pa.array(removed), pa.array(np.bincount(row, minlength=len(n)).astype(np.int64))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return R.with_ranges(rows, spans, "left").mapInArrow(run, schema)
+    return rows.select("doc_id", "text", "ranges").mapInArrow(run, schema)
 
 
 def digest(kept: DataFrame) -> DataFrame:

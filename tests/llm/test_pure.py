@@ -34,22 +34,42 @@ def test_leaks_by_coverage():
     assert [(r, i, c) for r, i, _, c, _, _ in got] == [(0, 0, 40), (4, 0, 40)]
 
 
-@pytest.mark.parametrize("few", [1, 4096])
-def test_suffix_order_and_common_prefixes(few, monkeypatch):
-    monkeypatch.setattr(suffix, "FEW", few)
+def test_suffix_order_and_common_prefixes():
     r = random.Random(3)
-    for _ in range(400):
-        t = bytes(r.randint(1, r.choice([1, 2, 3, 5])) for _ in range(r.randint(1, 60)))
-        got = list(suffix.suffixes(np.frombuffer(t, np.uint8), 200, r.choice([16, 10**6])))
-        order = sorted(range(len(t)), key=lambda i: t[i:])
-        assert np.concatenate([x[0] for x in got]).tolist() == order
-        want = [0]
-        for a, b in zip(order, order[1:], strict=False):
-            c = 0
-            while max(a, b) + c < len(t) and t[a + c] == t[b + c]:
-                c += 1
-            want.append(c)
-        assert np.concatenate([x[1] for x in got]).tolist() == want
+    for _ in range(500):
+        t = bytes(r.randint(1, r.choice([1, 2, 3, 5, 40])) for _ in range(r.randint(1, r.choice([5, 60, 200])))) + b"\0"
+        cap, memory = r.choice([2, 3, 20, 200]), r.choice([4, 8, 50, 10**4]) * suffix.TUPLE  # buckets of 4 and more suffixes, so that characters are streamed too
+        got = list(suffix.suffixes(np.frombuffer(t, np.uint8), 8, np.bincount(np.frombuffer(t, np.uint8)), cap, memory))
+        order, common = (np.concatenate(x).tolist() for x in zip(*got, strict=True))
+        assert sorted(order) == list(range(len(t)))
+        keys = [t[i : i + cap] for i in order]
+        assert keys == sorted(keys, reverse=True)
+        for a, b, c in zip(order[:-1], order[1:], common[1:], strict=True):
+            n = next((k for k in range(cap) if t[a + k : a + k + 1] != t[b + k : b + k + 1]), cap)
+            assert c == n
+
+
+def test_a_shard_larger_than_its_memory():
+    import tracemalloc
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(2000)]
+    passage = " ".join(r.choice(words) for _ in range(60)).encode()
+    raw = b"".join(" ".join(r.choice(words) for _ in range(3000)).encode() + passage for _ in range(60))
+    tracemalloc.start()
+    with suffix.Shard(100, 8_000_000) as shard:
+        for a in range(0, len(raw), 100_000):
+            shard.add(np.frombuffer(raw[a : a + 100_000], np.uint8))
+        got = np.concatenate([p for p, _ in shard.runs()])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    seen, want = {}, set()
+    for i in range(len(raw) - 99):
+        seen.setdefault(raw[i : i + 100], []).append(i)
+    want = {i for same in seen.values() if len(same) > 1 for i in same}
+    assert set(got.tolist()) == want and len(got) == len(want)
+    # 15 bytes a suffix in each of four queues, and 20 bytes a star, would be over 100 MB if they were in memory
+    assert peak < 45_000_000
 
 
 def test_bit_sliced_top_is_exact_with_ties():
