@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import checkpointed
+
 
 #: So many fragments at most are broadcast in a step; beyond, edges and scores meet by an exchange.
 BROADCAST = 200_000
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Without a checkpoint folder (tests) the executors hold the rows."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
-
-
 def _steps(damping: float, fragment_damping: float, linked: float, iterations: int, tolerance: float | None) -> int:
     """The step after which entities' and fragments' scores together change less than the tolerance.
 
@@ -42,7 +39,7 @@ def _walks(edges: DataFrame, restarts: dict[str, int], damping: float, fragment_
     df = edges.groupBy("f").agg(F.count("*").alias("df"))
     share = [F.when(F.col(r), F.lit(1.0 / max(n, 1))).otherwise(F.lit(0.0)).alias(r) for r, n in restarts.items()]
     links = edges.join(de, "e").join(df, "f").select("e", "f", "de", "df", *share).repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "e")
-    links = _cut(links).persist()  # the cut also keeps what made them out of the plan of every step
+    links = checkpointed(links).persist()  # the cut also keeps what made them out of the plan of every step
     linked = links.agg(*(F.sum(F.col(r) / F.col("de")).alias(r) for r in names)).first()
     few = links.select("f").distinct().count() <= BROADCAST
     steps = max(_steps(damping, fragment_damping, min(v or 0.0, 1.0), iterations, tolerance) for v in linked)
@@ -58,8 +55,8 @@ def _walks(edges: DataFrame, restarts: dict[str, int], damping: float, fragment_
     x = links.groupBy("e").agg(*((F.lit(1 - damping if steps % 2 == 0 else 1.0) * F.max(r)).alias(r) for r in names))
     y = to_f(x) if steps else df.select("f", *(F.lit(0.0).alias(r) for r in names))
     for _ in range(1 + (steps % 2 == 0), steps, 2):
-        y = to_f(to_e(_cut(y)))  # only fragments' scores are cut; longer plans fill the event log, as each of their stages logs the whole plan
-    y = _cut(y)
+        y = to_f(to_e(checkpointed(y)))  # only fragments' scores are cut; longer plans fill the event log, as each of their stages logs the whole plan
+    y = checkpointed(y)
     links.unpersist()
     total = y.agg(*(F.sum(r).alias(f"t_{r}") for r in names))
     return y.crossJoin(F.broadcast(total)).select("f", *(F.when(F.col(f"t_{r}") > 0, F.col(r) / F.col(f"t_{r}")).otherwise(F.lit(0.0)).alias(r) for r in names))  # one row

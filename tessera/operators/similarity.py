@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.session import checkpointed
+
 
 def pair_similarities(left: DataFrame, right: DataFrame, a: str, b: str, features: str, at_least: float = 0.0) -> DataFrame:
     """(a, b, similarity) of all pairs with a shared feature, at `at_least` or more.
@@ -114,30 +116,33 @@ def matched_l1(rows: DataFrame, target: DataFrame, key: str, props: list[str], k
 
 
 def neighbour_clusters(pairs: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """Greedy clustering of a neighbour table (a, b): the item with the most neighbours in all that is still free opens each cluster; ties to the smaller key.
-
-    Sequential by definition; for panels of reviewed items, gathered in one group.
+    """Greedy clustering of a neighbour table (a, b): item and centre.
+
+    Items are taken by their number of neighbours, the most first, ties to the smaller
+    key; one that is still free opens a cluster and takes its free neighbours.  So an
+    item is a centre if each neighbour before it is taken by another, and belongs to
+    the first centre among its neighbours.  That needs no sequence: in each round, every
+    undecided item that comes before all its undecided neighbours becomes a centre, and
+    its neighbours are taken.  For neighbours without a pattern the rounds grow with
+    the logarithm of the items.
     """
-    import pandas as pd
-
     linked = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    near = items.select(F.col(key).alias("a")).join(linked.groupBy("a").agg(F.collect_set("b").alias("bs")), "a", "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        free = {a: set(bs if bs is not None else ()) for a, bs in zip(pdf["a"], pdf["bs"], strict=True)}
-        out, number = [], 0
-        left = set(free)
-        order = sorted(free, key=lambda a: (-len(free[a]), a))
-        for a in order:
-            if a in left:
-                own = {a} | (free[a] & left)
-                out += [(x, number, a) for x in own]
-                left -= own
-                number += 1
-        return pd.DataFrame(out, columns=["item", "cluster", "centre"])
-
-    kind = items.schema[key].dataType.simpleString()
-    return near.groupBy(F.lit(1).alias("g")).applyInPandas(lambda pdf: run(pdf), f"item {kind}, cluster long, centre {kind}")
+    sizes = linked.groupBy("a").agg(F.count("*").alias("n"))
+    nodes = items.select(F.col(key).alias("a")).distinct().join(sizes, "a", "left").select("a", (-F.coalesce("n", F.lit(0))).alias("o"))
+    place = lambda name, o: F.struct(F.col(o).alias("o"), F.col(name).alias("k"))
+    edges = checkpointed(linked.join(nodes, "a").join(nodes.select(F.col("a").alias("b"), F.col("o").alias("p")), "b").select("a", "b", place("a", "o").alias("own"), place("b", "p").alias("other")))
+    centres, left = nodes.join(edges.select("a").distinct(), "a", "left_anti").select("a", "o"), edges
+    while not left.isEmpty():
+        first = left.groupBy("a").agg(F.max("own").alias("own"), F.min("other").alias("least")).where("own < least").select("a", F.col("own.o").alias("o"))
+        centres = checkpointed(centres.unionByName(first))
+        gone = centres.select("a").unionByName(left.join(centres.select(F.col("a").alias("b")), "b", "left_semi").select("a")).distinct()
+        left = left.join(gone, "a", "left_anti").join(gone.select(F.col("a").alias("b")), "b", "left_anti")
+        # an undecided item whose neighbours are all taken by others has no edge left, and is a centre
+        alone = edges.select("a", F.col("own.o").alias("o")).distinct().join(gone, "a", "left_anti").join(left.select("a").distinct(), "a", "left_anti")
+        centres, left = checkpointed(centres.unionByName(alone).distinct()), checkpointed(left)
+        edges = checkpointed(edges.join(gone.unionByName(alone.select("a")), "a", "left_anti"))
+    taken = linked.join(centres.select(F.col("a").alias("b"), "o"), "b").groupBy("a").agg(F.min(place("b", "o")).alias("c")).join(centres, "a", "left_anti")
+    return centres.select(F.col("a").alias("item"), F.col("a").alias("centre")).unionByName(taken.select(F.col("a").alias("item"), F.col("c.k").alias("centre")))
 
 
 def cluster_structure(clusters: DataFrame, cluster: str) -> DataFrame:

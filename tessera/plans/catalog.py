@@ -313,7 +313,7 @@ def kde_overlap(spark, d):
 
 @query()
 def bootstrap_auc(spark, d):
-    return validation.bootstrap_auc(hist(spark, d), ["lang"], 200, 7)
+    return validation.bootstrap_auc(hist(spark, d), ["lang"], 1000, 7)
 
 
 @query("SELECT p_type AS category, count(p_size) AS n, avg(p_size) AS mean, coalesce(stddev_samp(p_size), 0) AS sd, CAST(min(p_size) AS DOUBLE) AS least, quantile_cont(p_size, 0.25) AS q25, quantile_cont(p_size, 0.5) AS median, quantile_cont(p_size, 0.75) AS q75, CAST(max(p_size) AS DOUBLE) AS largest FROM part GROUP BY 1", "mean sd q25 median q75")

@@ -226,6 +226,22 @@ def test_neighbour_clusters_by_hand(spark):
     assert got == {1: 2, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6}
 
 
+def test_neighbour_clusters_against_the_sequence(spark):
+    import random
+
+    r = random.Random(4)
+    links = {(r.randrange(80), r.randrange(80)) for _ in range(130)}
+    near = {i: {b for a, b in links | {(b, a) for a, b in links} if a == i and b != i} for i in range(80)}
+    free, want = set(near), {}
+    for a in sorted(near, key=lambda i: (-len(near[i]), i)):
+        if a in free:
+            own = {a} | near[a] & free
+            want |= dict.fromkeys(own, a)
+            free -= own
+    got = similarity.neighbour_clusters(spark.createDataFrame(sorted(links), "a long, b long"), spark.createDataFrame([(i,) for i in range(80)], "k long"), "k")
+    assert {x.item: x.centre for x in got.collect()} == want and got.count() == 80
+
+
 def test_promotion_failures_in_order(spark):
     from tessera.operators import construction
 
