@@ -12,7 +12,7 @@ The trees are trained on the driver from a generator of labelled examples with a
 fixed seed and a fixed size (EXAMPLES), so the model's size is a constant; no
 corpus text is needed.  The scan over texts is one streaming Arrow pass without
 an exchange: a byte mask finds the texts that hold a digit, an at sign or a
-spelled-out one, and only those are searched, in time linear in their length.
+spelled-out one (also " at "), and only those are searched, in time linear in their length.
 
 Defined cases: a null or empty text has no spans; offsets are code points;
 base spans of different kinds may overlap and all stay; repeated rows each get
@@ -95,13 +95,15 @@ _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(
 _ID_NUMBER = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 #: kind, pattern, its group, and what every match has: a pattern is searched only near that.
-GENERATORS = (("secret", _KEYED, 1, re.compile("[=:]")), ("secret", _RANDOM, 0, re.compile("[0-9]")), ("email", _SPELLED, 0, re.compile(r"\(at\)|\[at\]|\(dot\)|\[dot\]| dot ")), ("phone", _LOCAL_PHONE, 0, re.compile("[0-9]")), ("number", _ID_NUMBER, 0, re.compile("[0-9]")), ("number", _ACCOUNT, 0, re.compile("[0-9]")))
+GENERATORS = (("secret", _KEYED, 1, re.compile("[=:]")), ("secret", _RANDOM, 0, re.compile("[0-9]")), ("email", _SPELLED, 0, re.compile(r"\(at\)|\[at\]| at ")), ("phone", _LOCAL_PHONE, 0, re.compile("[0-9]")), ("number", _ID_NUMBER, 0, re.compile("[0-9]")), ("number", _ACCOUNT, 0, re.compile("[0-9]")))
 #: More than the length of any match outside its run of secret characters; a pattern is searched so far around what it needs, and to both ends of the runs there.
 REACH = 400
 _RUN = re.compile(r"[A-Za-z0-9+/_-]*+")
 _RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 _CONTEXT = tuple(re.compile(p) for p in (r"(?i)(?:password|passwd|pwd|token|secret|key|auth)\W{0,6}$", r"(?i)(?:mail|contact|write to|reach)\W{0,6}$", r"(?i)(?:phone|call|tel|mobile|fax)\W{0,6}$", r"(?i)(?:ssn|social|account|iban|id|number|no)\W{0,6}$"))
 _VOWELS = frozenset("aeiouAEIOU")
+#: Endings of addresses that are told from words.
+_ENDINGS = frozenset("com org net edu gov io info biz co uk de fr es it nl eu ch at us ca au".split())
 
 
 def _near(text: str, need: re.Pattern) -> list[tuple[int, int]]:
@@ -141,7 +143,7 @@ def describe(text: str, generator: int, start: int, end: int) -> list[float]:
     return [
         *(float(generator == g) for g in range(len(GENERATORS))),
         n, digits / n, letters / n, upper / n, turns / n, len(set(s)) / n,
-        sum(c in _VOWELS for c in s) / max(letters, 1), sum(c in "-_/+" for c in s) / n, s.count(" "), float("(" in s or "[" in s), s.lower().count("dot"),
+        sum(c in _VOWELS for c in s) / max(letters, 1), sum(c in "-_/+" for c in s) / n, s.count(" "), float("(" in s or "[" in s), s.lower().count("dot"), float(re.split("[^a-z]+", s.lower().rstrip("])"))[-1] in _ENDINGS), s.count(". "),
         float(all(c in "0123456789abcdefABCDEF" for c in s)), float(before[-1:] in ("", " ", "\n", '"', "'", "=", ":", "(")), float(after[:1] in ("", " ", "\n", '"', "'", ".", ",", ";", ")")), *(float(bool(p.search(before))) for p in _CONTEXT),
     ]
 
@@ -163,7 +165,8 @@ def _example(rng: random.Random) -> tuple[str, bool]:
         lambda: mixed,
         lambda: f"{word()}.{word()} {rng.choice(['(at)', '[at]'])} {word()} {rng.choice(['(dot)', '[dot]', 'dot'])} {rng.choice(['com', 'org', 'net'])}",
         lambda: f"{word()} at {word()} dot {rng.choice(['com', 'org', 'net'])}",
-        lambda: f"{rng.choice(['call', 'phone', 'tel', 'mobile', ''])} ({pick(digits, 3, 3)}) {pick(digits, 3, 3)}-{pick(digits, 4, 4)}",
+        lambda: f"{word()}{rng.choice(['', '.' + word(), '_' + word()])} at {word()}.{rng.choice(['com', 'org', 'net', 'edu', 'io', 'de', 'co'])}",
+        lambda: f"{rng.choice(['call', 'phone', 'tel', 'mobile', '', word()])} " + rng.choice(["({}) {}-{}", "({}) {} {}", "{}-{}-{}", "{} {} {}", "{}.{}.{}"]).format(pick(digits, 3, 3), pick(digits, 3, 3), pick(digits, 4, 4)),
         lambda: f"{rng.choice(['ssn', 'social', 'id number', ''])} {pick(digits, 3, 3)}-{pick(digits, 2, 2)}-{pick(digits, 4, 4)}",
         lambda: f"{rng.choice(['iban', 'account', ''])} {pick('ABCDEFGHIKLNPST', 2, 2)}{pick(digits, 2, 2)} " + " ".join(pick(digits, 4, 4) for _ in range(rng.randint(3, 6))),
     ]
@@ -179,6 +182,7 @@ def _example(rng: random.Random) -> tuple[str, bool]:
         lambda: f"/{word()}/{word()}/{word()}/{word()}/{word()}",
         lambda: f"{word()} at {word()}.{word()} {word()}",
         lambda: f"{word()} at {word()}. {word()}",
+        lambda: f"{word()} at {rng.choice(['the', 'a', 'this', 'all', 'last', word()])}. {rng.choice(['The', 'It', 'He', 'And', word().title()])} {word()}",
         lambda: f"{pick(low, 1, 8)}1 at {word()} {word()}.{pick(digits, 1, 3)}",
         lambda: f"version {pick(digits, 3, 3)}.{pick(digits, 3, 3)}.{pick(digits, 4, 4)}",
         lambda: f"AB12 {pick('ABCDEFGH', 4, 4)} {pick('ABCDEFGH', 4, 4)}",
@@ -188,11 +192,46 @@ def _example(rng: random.Random) -> tuple[str, bool]:
     return f"{' '.join(word() for _ in range(rng.randint(0, 4)))} {inner}{rng.choice(['', ' ', '. ', ', '])}{' '.join(word() for _ in range(rng.randint(0, 4)))}", label
 
 
-def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+_PROSE = "the of and to in is that it was for on with as be by this have from or had not are but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
+
+
+def _other_example(rng: random.Random) -> tuple[str, bool]:
+    """An example as of another hand: other words, formats and surroundings than `_example`'s, for the thresholds."""
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    some = lambda k: " ".join(rng.choice(_PROSE) for _ in range(k))
+    digits, letters = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    name = lambda: rng.choice(["anna", "li.wei", "j_smith", "omar77", "sales", "info", "m-keller", "kim"])
+    host = lambda: rng.choice(["mail", "corp", "shop-online", "uni", "acme", "post", "web2"])
+    good = [
+        lambda: f"{rng.choice(['API_KEY', 'auth', 'Token', 'access-key', 'PASSWORD', 'pwd'])}={pick(letters.upper() + letters + digits, rng.randint(10, 60))}",
+        lambda: f"{rng.choice(['secret', 'password'])}: '{pick(letters, 3)}{pick(digits, 4)}{pick(letters.upper(), 3)}'",
+        lambda: f"sk_live_{pick(letters + letters.upper() + digits, rng.randint(16, 30))}",
+        lambda: pick(digits + "ABCDEF", rng.choice([32, 40, 64])),
+        lambda: f"{name()} {rng.choice(['(at)', '[at]'])} {host()} {rng.choice(['(dot)', '[dot]', 'dot'])} {rng.choice(['com', 'de', 'org'])}",
+        lambda: f"{name()} at {host()}{rng.choice([' dot ', '.'])}{rng.choice(['com', 'net', 'org'])}",
+        lambda: f"{rng.choice(['Tel.', 'ring', 'or', 'on'])} {rng.choice(['{0}-{1}-{2}', '({0}) {1}-{2}', '{0}.{1}.{2}', '{0} {1} {2}']).format(pick(digits, 3), pick(digits, 3), pick(digits, 4))}",
+        lambda: f"{rng.choice(['SSN', 'his', 'with', 'no.'])} {pick(digits, 3)}-{pick(digits, 2)}-{pick(digits, 4)}",
+        lambda: f"{rng.choice(['IBAN', 'to', 'account'])} {rng.choice(['DE', 'FR', 'ES', 'NL'])}{pick(digits, 2)} {' '.join(pick(digits, 4) for _ in range(4))} {pick(digits, 2)}",
+    ]
+    poor = [
+        lambda: f"{rng.choice(['key', 'token', 'secret'])}: {rng.choice(['important', 'because', 'everyone', 'something'])}",
+        lambda: "-".join(rng.choice(_PROSE) for _ in range(6)) + "-2",
+        lambda: f"{some(1)}/{some(1)}/{some(1)}/page/{rng.randint(1, 99)}/index",
+        lambda: f"{some(1)} at {some(1)}. {some(1).title()} {some(1)}",
+        lambda: f"{some(1)} at {rng.choice(['home', 'least', 'last', 'noon'])}.{some(1)}",
+        lambda: "=" * rng.randint(16, 40) + pick(digits, 1),
+        lambda: f"{pick(digits, 8)}-{pick(digits, 8)}",
+        lambda: f"AA{pick(digits, 2)} {pick('ABCDEF', 4)} {pick('ABCDEF', 4)} {pick('ABCDEF', 4)}",
+    ]
+    label = rng.random() < 0.5
+    return f"{some(rng.randint(0, 6))} {rng.choice(good if label else poor)()}{rng.choice(['', '.', ',', ' '])} {some(rng.randint(0, 6))}", label
+
+
+def _examples(n: int, seed: int, example=None) -> tuple[np.ndarray, np.ndarray]:
     rng = random.Random(seed)
     x, y = [], []
     while len(y) < n:
-        text, label = _example(rng)
+        text, label = (example or _example)(rng)
         for g, a, b in propose(text):
             x.append(describe(text, g, a, b))
             y.append(label)
@@ -253,18 +292,18 @@ class Trees:
 def model() -> tuple[Trees, np.ndarray]:
     """The trees, and for each generator the least score that is redacted."""
     trees = Trees(*_examples(EXAMPLES, 1))
-    x, y = _examples(CALIBRATION, 2)
+    x, y = _examples(CALIBRATION, 2, _other_example)
     p = trees.predict(x)
     limits = np.full(len(GENERATORS), 0.5)
     for g in range(len(GENERATORS)):
         own = x[:, g] == 1
-        for limit in sorted(set(np.round(p[own], 3))):
-            taken = own & (p >= limit)
-            if limit >= 0.5 and taken.any() and y[taken].mean() >= PRECISION:
-                limits[g] = limit
+        scores = np.unique(p[own])
+        limits[g] = np.inf  # a generator that can't reach the precision proposes in vain
+        for k, limit in enumerate(scores):
+            if limit >= 0.5 and y[own & (p >= limit)].mean() >= PRECISION:
+                below = scores[k - 1] if k else 0.0
+                limits[g] = max(0.5, (below + limit) / 2)
                 break
-        else:
-            limits[g] = 0.99
     return trees, limits
 
 
@@ -312,13 +351,13 @@ def _join(spans: list[Span]) -> str:
 
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[list(b"0123456789@=:([")] = True
-_DOT = re.compile(rb" dot ")
+_AT = re.compile(rb" at ")
 
 
 def _suspects(column: pa.Array) -> np.ndarray:
     """Rows whose text may hold a span: every pattern needs one of the triggers."""
     data, offsets = T.utf8(column)
-    at = np.concatenate([np.flatnonzero(_TRIGGER[data]), np.fromiter((m.start() for m in _DOT.finditer(data)), np.int64)])
+    at = np.concatenate([np.flatnonzero(_TRIGGER[data]), np.fromiter((m.start() for m in _AT.finditer(data)), np.int64)])
     return np.unique(np.searchsorted(offsets, at, "right") - 1)
 
 

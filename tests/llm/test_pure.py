@@ -165,3 +165,26 @@ def test_quality_separates_held_out_rows():
     score = quality.model_from_sums(sums).score(x)
     assert score[200:300].min() > 0.5 > score[340:360].max() and np.isfinite(score).all()
     assert np.isfinite(quality.model_from_sums(np.zeros_like(sums)).score(x)).all()
+
+
+def test_spelled_out_addresses_stand_for_themselves():
+    trees, limits = pii.model()
+
+    def taken(text):
+        return [text[a:b] for _, a, b in pii.added_spans(text, pii.base_spans(text), trees, limits)]
+
+    alone, marked = "please ask joe at example.com about it", "please ask joe at example.com about it (at) some dot other place"
+    assert taken(alone) == ["joe at example.com"] and "joe at example.com" in taken(marked)
+    assert pii._suspects(pa.array([alone, "nothing here", None, "x"])).tolist() == [0]
+    assert taken("look at this. The end is near. We met at noon. Then we left.") == []
+
+
+def test_added_spans_by_kind_on_examples_of_another_hand():
+    trees, limits = pii.model()
+    assert np.isfinite(limits).all()
+    x, y = pii._examples(2000, 77, pii._other_example)
+    p = trees.predict(x)
+    for g in range(len(pii.GENERATORS)):
+        own = x[:, g] == 1
+        good = own & (p >= limits[g])
+        assert y[good].mean() >= 0.97 and good[y == 1].sum() >= 0.75 * (own & (y == 1)).sum()
