@@ -9,10 +9,11 @@ carry-save adders.  The sum's slices are then walked from the most significant
 downward to select the top rows: those sure to be in, and those at the boundary,
 which are resolved exactly by their scores and ids.
 
-Queries come in blocks too.  Each pair of a query block and an index block is one
-task; a row is copied once for each query block, never for each query, and what a
-pair returns is at most k rows for each query.  The merge keeps k rows for each
-query.
+Queries come in blocks too, and go to the index: each index block is built once, in
+one task, and the query blocks stream past it.  What a pair returns is at most k
+rows for each query; the merge keeps k rows for each query.  Only where the table
+has fewer blocks than the cluster has cores, a block is built in a few tasks, each
+for a share of the query blocks.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component
 take no part; a query meets only vectors of its own length; rows with equal ids
@@ -154,21 +155,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOC
     """query_id, rank, vec_id and score; both inputs as `quantised` gives them, every row of `queries` against every other row of `vectors`."""
     n, m = vectors.count(), queries.count()
     parts, asked = max(1, -(-n // block_rows)), max(1, -(-m // block_queries))
+    shares = min(asked, max(1, -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // parts)))  # 1 on a large table
     spread = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count))
-    index = _packed(vectors, spread(parts), ["block", "size", "ids", "items"])
-    blocks = _packed(queries, spread(asked), ["q_block", "size", "q_ids", "q_items"])
-    # every index block goes to each query block: the stated queries against all rows, block by block
-    copies = index.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked - 1).cast("long"))).alias("q_block"))
-    pairs = copies.join(blocks, ["size", "q_block"]).repartition(parts * asked, "block", "q_block")
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    index = _packed(vectors, spread(parts), ["block", "size", "ids", "items"]).select("size", "block", every(shares).alias("share"), F.lit(-1).cast("long").alias("q_block"), "ids", "items")
+    blocks = _packed(queries, spread(asked), ["q_block", "size", "ids", "items"]).select("size", every(parts).alias("block"), F.pmod("q_block", F.lit(shares)).alias("share"), "q_block", "ids", "items")
+    # an index block, and then the stated queries against it, block by block
+    keys = ["size", "block", "share"]
+    rows = index.unionByName(blocks).repartition(parts * shares, *keys).sortWithinPartitions(*keys, "q_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, None
         for batch in batches:
-            for size, ids, items, q_ids, q_items in zip(*(batch[c].to_pylist() for c in ("size", "ids", "items", "q_ids", "q_items")), strict=True):
-                block = Index(np.frombuffer(ids, "<i8"), np.frombuffer(items, "<i8").reshape(-1, size))
-                found = [(q, *block.top(int(q), w, k)) for q, w in zip(np.frombuffer(q_ids, "<i8"), np.frombuffer(q_items, "<i8").reshape(-1, size), strict=True)]
-                who = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], ["query_id", "vec_id", "score"])
-
-    best = pairs.select("size", "ids", "items", "q_ids", "q_items").mapInArrow(run, RESULT)
+            for r in range(batch.num_rows):
+                size, part, share, q_block, ids, items = (batch.column(c)[r] for c in range(6))
+                size, key = size.as_py(), (size.as_py(), part.as_py(), share.as_py())
+                ids, items = np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(items.as_buffer(), "<i8").reshape(-1, size)
+                if q_block.as_py() < 0:
+                    now, block = key, Index(ids, items)
+                elif key == now:  # else no vector of this size is in the block
+                    found = [(q, *block.top(int(q), w, k)) for q, w in zip(ids, items, strict=True)]
+                    who = np.repeat(ids, [len(f[1]) for f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], ["query_id", "vec_id", "score"])
+
+    best = rows.mapInArrow(run, RESULT)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
