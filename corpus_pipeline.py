@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes eve
 stage's rows as Parquet in the cluster's shared folder and reads them again for the
 next one.  All but the last return the columns of documents: the classifier, the
 near-dedup and the decontamination drop rows, redaction rewrites text and n_chars.
+
+Defined cases, in each stage: a null or empty text is a text without words, is judged
+like any other by the classifier (it scores low), and is linked with nothing, leaked
+into by nothing, and packed as the end id alone; of repeated rows the near-dedup keeps
+those of the least doc_id; rows without an id are never linked; an empty table gives an
+empty one; other columns go along unread.
 """
 
 from __future__ import annotations
@@ -55,7 +61,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("sequence_packing", sequence_packing),
 ]
 
-#: The classifier, the redaction and the tokenizer can't be put into SQL; tests hold run() against a brute-force version.
+#: The classifier, the redaction and the tokenizer can't be put into SQL; tests hold run() against a plain version of every stage.
 ORACLE_SQL = None
 
 
