@@ -116,3 +116,58 @@ def bootstrap_auc(hist: DataFrame, keys: list[str], replicates: int, seed: int)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hist.select(*keys).schema) + ", low double, mid double, high double"
     return hist.groupBy(*keys).applyInPandas(run, schema)
+
+
+def require_split_sizes(rows: DataFrame, keys: list[str], split: str, splits: list[str], least: int) -> None:
+    """An error that names every group whose split has fewer than `least` rows.  One row for each group and split."""
+    counts = {(*(r[k] for k in keys), r[split]): r["n"] for r in rows.groupBy(*keys, split).agg(F.count("*").alias("n")).collect()}
+    groups = {k[:-1] for k in counts}
+    small = sorted(f"{'/'.join(map(str, g))}:{s}" for g in groups for s in splits if counts.get((*g, s), 0) < least)
+    if small:
+        raise ValueError("too few rows in " + ", ".join(small))
+
+
+def four_regimes(rows: DataFrame, target: Column, key: str, props: list[str], k: int, salt: str, features: str, distant_below: float) -> DataFrame:
+    """Negatives of a target by regime: all_other_random, related_hard (most similar), distant_other (a sample of those less similar than `distant_below` to every target row) and property_matched (scaled absolute distance)."""
+    own, other = rows.where(target), rows.where(~target)
+    near = similarity.max_similarity(other, own, key, key, features)
+    far = similarity.keep_unlike(other, own, key, key, features, distant_below).select(key)
+    parts = {
+        "all_other_random": hash_sample(other.select(key), key, k, f"{salt}|all"),
+        "related_hard": near.orderBy(F.desc("max_similarity"), key).limit(k).select(key),
+        "distant_other": hash_sample(far, key, k, f"{salt}|far"),
+        "property_matched": similarity.matched_l1(other, own, key, props, k).select(key),
+    }
+    return reduce(DataFrame.unionAll, [p.withColumn("regime", F.lit(name)) for name, p in parts.items()])
+
+
+def bootstrap_metrics(scored: DataFrame, keys: list[str], threshold: float, replicates: int, seed: int) -> DataFrame:
+    """2.5, 50 and 97.5 % points of five metrics under stratified resampling: auc, average_precision, and balanced_accuracy, sensitivity and specificity at the threshold.
+
+    Replicates redraw the classes' histograms, as in `bootstrap_auc`.
+    """
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+
+    names = ["auc", "average_precision", "balanced_accuracy", "sensitivity", "specificity"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("score")
+        score, p, n = (pdf[c].to_numpy() for c in ("score", "p", "n"))
+        group = zlib.crc32("|".join(str(pdf[k].iloc[0]) for k in keys).encode())
+        got = []
+        for r in range(replicates if p.sum() and n.sum() else 0):
+            rng = np.random.Generator(np.random.PCG64([seed, r, group]))
+            a, b = rng.multinomial(p.sum(), p / p.sum()), rng.multinomial(n.sum(), n / n.sum())
+            tp, fp = a[::-1].cumsum(), b[::-1].cumsum()
+            taken = np.maximum(tp + fp, 1)
+            sens, spec = a[score >= threshold].sum() / p.sum(), b[score < threshold].sum() / n.sum()
+            got.append(((a * (2 * (b.cumsum() - b) + b)).sum() / (2 * p.sum() * n.sum()), (a[::-1] / p.sum() * tp / taken).sum(), (sens + spec) / 2, sens, spec))
+        q = np.quantile(np.array(got), [0.025, 0.5, 0.975], axis=0) if got else np.full((3, len(names)), np.nan)
+        return pd.concat([pdf[keys].head(1)] * len(names), ignore_index=True).assign(metric=names, low=q[0], mid=q[1], high=q[2])
+
+    hist = M.histogram(scored, keys)
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in hist.select(*keys).schema] + ["metric string", "low double", "mid double", "high double"])
+    return hist.groupBy(*keys).applyInPandas(run, schema)
