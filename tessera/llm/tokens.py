@@ -182,13 +182,20 @@ def encode_chunks(chunks: DataFrame, path: str, overlap: int) -> DataFrame:
 
 
 def cut_up(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """Chunk rows of texts (doc_id, row_no, text): each begins `chunk` after the one before, and is `overlap` longer."""
-    n = F.length("text")
-    last_no = F.greatest(F.lit(0), F.ceil((n - overlap) / F.lit(float(chunk))) - 1).cast("int")
-    rows = texts.select("doc_id", "row_no", "text", last_no.alias("last_no")).select("doc_id", "row_no", "text", "last_no", F.explode(F.sequence(F.lit(0), "last_no")).alias("chunk_no"))
-    begin = F.col("chunk_no").cast("long") * chunk
-    whole = F.when(F.col("chunk_no") == F.col("last_no"), F.length("text")).otherwise(F.lit(chunk + overlap))
-    return rows.select("doc_id", "row_no", "chunk_no", begin.alias("begin"), (F.col("chunk_no") == F.col("last_no")).alias("last"), F.substring(F.col("text"), begin.cast("int") + 1, whole).alias("piece"))
+    """Chunk rows of texts (doc_id, row_no, text): each begins `chunk` after the one before, and is `overlap` longer.  A text is read once."""
+    schema = "doc_id long, row_no long, chunk_no int, begin long, last boolean, piece string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                doc_id, row_no, text = (batch[c][r].as_py() for c in ("doc_id", "row_no", "text"))
+                last = max(0, -(-(len(text) - overlap) // chunk) - 1)
+                for a in range(0, last + 1, 16):  # chunks that are in memory beside the text
+                    no = range(a, min(a + 16, last + 1))
+                    pieces = [text[k * chunk :] if k == last else text[k * chunk : (k + 1) * chunk + overlap] for k in no]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(no), pa.int64()), pa.array([row_no] * len(no), pa.int64()), pa.array(no, pa.int32()), pa.array([k * chunk for k in no], pa.int64()), pa.array([k == last for k in no]), pa.array(pieces, pa.string())], [x.split()[0] for x in schema.split(", ")])
+
+    return texts.select("doc_id", "row_no", "text").mapInArrow(run, schema)
 
 
 def splice(encoded: DataFrame) -> DataFrame:
