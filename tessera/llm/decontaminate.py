@@ -14,9 +14,14 @@ is bounded; each block is a streaming pass over the documents without an
 exchange.  Only runs of hit windows enter the tiling: every match of MIN_MATCH
 tokens or more lies in such a run.
 
-Defined cases: null or empty texts and items of fewer than MIN_MATCH tokens match
-nothing; repeated rows each get their own result; a null id stays null; an empty
-benchmark leaves every document clean; other columns are passed on or not read.
+For a text, its distinct hit seeds are laid against the items' first, so what is in
+memory is bounded by the block's seeds, however often a text or many items repeat
+one; only an item whose seeds cover enough of it is tiled.
+
+Defined cases: a null or empty text, or item, matches nothing; an item of fewer than
+MIN_MATCH tokens has no seed, and leaks into a text of exactly its tokens; repeated
+rows each get their own result; a null id stays null; an empty benchmark leaves every
+document clean; other columns are passed on or not read.
 """
 
 from __future__ import annotations
@@ -111,6 +116,7 @@ class Index:
     item: np.ndarray
     position: np.ndarray
     filter: np.ndarray
+    short: dict[tuple[int, ...], list[int]]
 
     @staticmethod
     def build(ids: list[int | None], texts: list[str | None]) -> Index:
@@ -120,43 +126,48 @@ class Index:
         order = np.argsort(seeds, kind="stable")
         bits = np.zeros(1 << _FILTER_BITS, bool)
         bits[(seeds >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        return Index(ids, values, of, seeds[order], item[order], (start - of[item])[order], bits)
+        short: dict[tuple[int, ...], list[int]] = {}
+        for k in np.flatnonzero((np.diff(of) > 0) & (np.diff(of) < MIN_MATCH)).tolist():
+            short.setdefault(tuple(values[of[k] : of[k + 1]].tolist()), []).append(k)
+        return Index(ids, values, of, seeds[order], item[order], (start - of[item])[order], bits, short)
 
 
 def leaks(column: pa.Array, index: Index, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(row, item, item's tokens, covered ones, tiles, longest tile) for each leak into a text."""
     data, offsets = T.utf8(column)
-    if not len(index.seeds):
-        return
     for a, b in T.steps(data, offsets):
         values, of = tokens(*T.sub(data, offsets, a, b))
+        for k in np.flatnonzero((np.diff(of) > 0) & (np.diff(of) < MIN_MATCH)).tolist() if index.short else ():
+            n = int(of[k + 1] - of[k])
+            for item in index.short.get(tuple(values[of[k] : of[k + 1]].tolist()), ()):
+                yield a + k, item, n, n, 1, n
+        if not len(index.seeds):
+            continue
         start, text = T.window_rows(of, MIN_MATCH)
         hashes = T.hash_windows(values, MIN_MATCH)[start]
         maybe = np.flatnonzero(index.filter[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         low = np.searchsorted(index.seeds, hashes[maybe])
-        high = np.searchsorted(index.seeds, hashes[maybe], "right")
-        hit = high > low
-        if not hit.any():
-            continue
-        maybe, low, high = maybe[hit], low[hit], high[hit]
+        hit = index.seeds[np.minimum(low, len(index.seeds) - 1)] == hashes[maybe]
+        maybe = maybe[hit]
         edges = np.flatnonzero(np.diff(text[maybe], prepend=-1, append=-1))
         for p, q in zip(edges[:-1], edges[1:], strict=True):  # one text's hits
-            n = high[p:q] - low[p:q]
-            entry = np.repeat(low[p:q] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            at = np.repeat(start[maybe[p:q]], n)
-            order = np.lexsort((at, index.item[entry]))
-            entry, at = entry[order], at[order]
+            own, places = hashes[maybe[p:q]], start[maybe[p:q]]
+            distinct = np.unique(own)
+            low, high = np.searchsorted(index.seeds, distinct), np.searchsorted(index.seeds, distinct, "right")
+            n = high - low
+            entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            entry = entry[np.argsort(index.item[entry], kind="stable")]
             parts = np.flatnonzero(np.diff(index.item[entry], prepend=-1, append=-1))
             for u, v in zip(parts[:-1], parts[1:], strict=True):
                 item = int(index.item[entry[u]])
                 b_tokens = index.tokens[index.offsets[item] : index.offsets[item + 1]]
                 seen = np.zeros(len(b_tokens) + 1, np.int64)
-                where = np.unique(index.position[entry[u:v]])
+                where = index.position[entry[u:v]]
                 seen[where] += 1
                 np.subtract.at(seen, where + MIN_MATCH, 1)
                 if (np.cumsum(seen[:-1]) > 0).sum() < threshold * len(b_tokens):
                     continue
-                spots = np.unique(at[u:v])
+                spots = places[np.isin(own, index.seeds[entry[u:v]])]
                 run = np.flatnonzero(np.diff(spots, prepend=-MIN_MATCH - 1) > MIN_MATCH)
                 a_tokens: list[int] = []
                 for k, f in enumerate(run):

@@ -167,6 +167,54 @@ def test_decontamination_keeps_clean_rows_whole(spark):
     assert decontaminate.find(rows, bench.limit(0)).count() == 0
 
 
+def _tiled(a, b, least=5):
+    """Greedy string tiling by definition: again and again the longest matches of free tokens, in order."""
+    free_a, free_b, out = [True] * len(a), [True] * len(b), 0
+    while True:
+        best, found = least, []
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                if n > best:
+                    best, found = n, [(i, j)]
+                elif n == best:
+                    found.append((i, j))
+        if not found:
+            return out
+        for i, j in found:
+            if all(free_a[i : i + best]) and all(free_b[j : j + best]):
+                free_a[i : i + best] = free_b[j : j + best] = [False] * best
+                out += best
+
+
+def test_decontamination_against_tiling_by_definition(spark):
+    r = random.Random(11)
+    word = lambda: f"w{r.randint(0, 400)}"
+    items = [(k, [word() for _ in range(r.randint(5, 40))]) for k in range(12)] + [(50, ["yes", "no"]), (51, items_51 := ["the", "same", "five", "words", "here"] * 3), (51, items_51)]
+    docs = []
+    for i in range(60):
+        out = []
+        for _ in range(r.randint(0, 4)):
+            out += [word() for _ in range(r.randint(0, 20))]
+            w = r.choice(items)[1]
+            k = r.randint(0, len(w))
+            out += r.choice([w, w[k:] + w[:k], w[k:], w[:k] + ["x"] + w[k:]])
+        docs.append((i, out))
+    docs += [(100, ["Yes,", "no!"]), (101, ["yes", "no", "no"]), (102, ["the", "same", "five", "words", "here"] * 200), (102, ["yes"]), (103, [])]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string").withColumn("coverage", F.lit(2.0))
+    got = sorted((x.doc_id, x.item_id, x.covered_tokens) for x in decontaminate.find(frame(spark, [(i, " ".join(w)) for i, w in docs]), bench).collect())
+    want = []
+    for i, w in docs:
+        plain = [x.lower().strip(",!") for x in w]
+        for k, item in items:
+            covered = _tiled(plain, item) if len(item) >= 5 else len(item) * (plain == item)
+            if item and covered >= len(item) / 2:
+                want.append((i, k, covered))
+    assert got == sorted(want)
+
+
 def test_redaction_keeps_rows(spark):
     rows = frame(spark, [(1, "mail joe@x.org now"), (2, None), (3, "plain")]).withColumn("n_chars", F.length("text").cast("long"))
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redacted(rows).collect()}
