@@ -51,10 +51,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def mix_int(x: int) -> int:
-    return int(mix(np.array([x & (2**64 - 1)], np.uint64))[0])
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the n+1 offsets of a string column; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -26,8 +26,9 @@ members meet only in joins that are split when skewed; no bucket is gathered.
 
 Defined cases: a text of one to four words has its whole sequence as the only
 shingle; a null or empty text has an empty set and is linked with nothing; a row
-with a null doc_id is not linked and has a null component; rows with one doc_id
-and different texts are each judged by their text; other columns are not read.
+with a null doc_id is not linked and has a null component; rows with one doc_id are
+one vertex, which has the links of all its texts, and each row its own n_shingles;
+other columns are not read.
 """
 
 from __future__ import annotations
