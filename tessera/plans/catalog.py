@@ -306,7 +306,15 @@ def histogram_overlap(spark, d):
     return metrics.histogram_overlap(scored(spark, d), ["lang"])
 
 
-@query()
+_KERNELS = f"""WITH h AS (SELECT lang, score AS x, CAST(count(*) FILTER (positive) AS DOUBLE) AS p, CAST(count(*) FILTER (NOT positive) AS DOUBLE) AS n FROM {SCORED} AS s GROUP BY 1, 2),
+    m AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS tn, sum(p * x) OVER w / sum(p) OVER w AS mp, sum(n * x) OVER w / sum(n) OVER w AS mn FROM h WINDOW w AS (PARTITION BY lang)),
+    k AS (SELECT *, sqrt(sum(p * power(x - mp, 2)) OVER w / (tp - 1)) * power(tp, -0.2e0) AS hp, sqrt(sum(n * power(x - mn, 2)) OVER w / (tn - 1)) * power(tn, -0.2e0) AS hn FROM m WHERE tp > 1 AND tn > 1 WINDOW w AS (PARTITION BY lang)),
+    d AS (SELECT lang, i, sum(p * exp(-0.5e0 * power((-0.05e0 + 1.1e0 * i / 1999e0 - x) / hp, 2))) AS a, sum(n * exp(-0.5e0 * power((-0.05e0 + 1.1e0 * i / 1999e0 - x) / hn, 2))) AS b FROM k, range(0, 2000) AS r(i) WHERE hp > 0 AND hn > 0 GROUP BY 1, 2),
+    t AS (SELECT *, sum(a * CASE WHEN i IN (0, 1999) THEN 0.5e0 ELSE 1e0 END) OVER w AS sa, sum(b * CASE WHEN i IN (0, 1999) THEN 0.5e0 ELSE 1e0 END) OVER w AS sb FROM d WINDOW w AS (PARTITION BY lang))
+    SELECT g.lang, coalesce(o, 0e0) AS overlap FROM (SELECT DISTINCT lang FROM h) AS g LEFT JOIN (SELECT lang, sum(least(a / sa, b / sb) * CASE WHEN i IN (0, 1999) THEN 0.5e0 ELSE 1e0 END) AS o FROM t GROUP BY 1) AS q USING (lang)"""
+
+
+@query(_KERNELS, "overlap")
 def kde_overlap(spark, d):
     return metrics.kde_overlap(scored(spark, d), ["lang"])
 

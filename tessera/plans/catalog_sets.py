@@ -173,7 +173,13 @@ def pattern_reuse(spark, d):
     return patterns.reuse(t(spark, d, "part").select(F.col("p_name").alias("pattern"), F.col("p_brand").alias("model_id"), F.col("p_type").alias("category")))
 
 
-@query()
+@query(
+    r"""SELECT doc_id AS entity_id, source AS category, canon <> '' AS valid, CAST(length(text) AS DOUBLE) AS n_chars, CAST(len(tokens) AS DOUBLE) AS n_tokens, length(replace(canon, ' ', '')) / CAST(greatest(len(tokens), 1) AS DOUBLE) AS mean_token, length(regexp_replace(text, '[^A-Z]', '', 'g')) / CAST(greatest(length(text), 1) AS DOUBLE) AS upper_ratio, length(regexp_replace(text, '[^0-9]', '', 'g')) / CAST(greatest(length(text), 1) AS DOUBLE) AS digit_ratio,
+    regexp_matches(text, '[0-9]') AS has_digit, contains(text, '!') AS has_exclaim, contains(text, '|') AS has_bar, contains(text, '?') AS has_question, regexp_matches(text, 'licen[cs]e', 'i') AS has_license,
+    CAST(len(list_distinct(tokens)) AS INTEGER) AS n_features, CAST(CASE WHEN len(tokens) < 2 THEN 0 ELSE len(list_distinct(list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]))) END AS INTEGER) AS n_fragments, sha256(canon) AS group_key
+    FROM (SELECT *, CASE WHEN canon = '' THEN [] ELSE string_split(canon, ' ') END AS tokens FROM (SELECT doc_id, source, coalesce(text, '') AS text, lower(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', ' ', 'g'))) AS canon FROM documents) AS x) AS y""",
+    "mean_token upper_ratio digit_ratio",
+)
 def text_entities(spark, d):
     rows = TextFeatures().entities(t(spark, d, "documents"))
     return rows.select("entity_id", "category", "valid", *TextFeatures.PROPS, *TextFeatures.FLAGS, F.size("features").alias("n_features"), F.size("fragments").alias("n_fragments"), "group_key")

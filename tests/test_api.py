@@ -52,3 +52,17 @@ def test_one_text(spark, folder, capsys):
     assert cli.main(["--models", folder, "--score-all", "two words 1", "--model-id", "a", "--model-id", "b"]) == 0 and len(capsys.readouterr().out.splitlines()) == 2
     assert cli.main(["--models", folder, "--self-test"]) == 0 and capsys.readouterr().out == "ok\n"
     assert api.self_test(spark, [], provider_of) == ["no models"]
+
+
+def test_jobs(spark, tmp_path, capsys):
+    from tessera import jobs
+    from tessera.plans import catalog
+
+    assert not {q for names in jobs.JOBS.values() for q in names} - set(catalog.QUERIES)
+    out = str(tmp_path / "catalog")
+    assert jobs.main(["catalog", "--data", "/root/testdata/sf0.001", "--out", out]) == 0 and capsys.readouterr().out.split() == jobs.JOBS["catalog"]
+    rows = json.loads((tmp_path / "catalog" / "manifest.json").read_text())["rows"]
+    assert rows["tree_flatten"] == spark.read.parquet(f"{out}/tree_flatten").count() > 0
+    assert (tmp_path / "catalog" / "report.md").read_text().startswith("# catalog\n\n## tree_flatten\n")
+    with pytest.raises(ValueError, match="another run"):
+        jobs.main(["ablation", "--data", "/root/testdata/sf0.001", "--out", out])
