@@ -216,3 +216,25 @@ def recalibrate(scored: DataFrame, keys: list[str], score: str, positive: str, c
     sums = rows.groupBy(*keys).agg(F.max("threshold").alias("threshold"), *(at(c, cut).alias(f"{c}{k}") for c in ("p", "n") for k, cut in enumerate((F.col("threshold"), F.lit(before)))))
     out = sums.join(both, keys).join(M.roc_auc(hist, keys), keys)
     return out.select(*keys, "auc", "threshold", (F.col("p0") / F.col("pos")).alias("tpr"), (F.col("n0") / F.col("neg")).alias("fpr"), (F.col("p1") / F.col("pos")).alias("tpr_before"), (F.col("n1") / F.col("neg")).alias("fpr_before"))
+
+
+# -- runs over folds and scores -----------------------------------------------------------------------------------
+
+
+def fold_evaluation(rows: DataFrame, text: Column, buckets: int, used: list[int], score: str = "score", positive: str = "positive") -> DataFrame:
+    """For each used fold: the threshold of the other rows' ROC curve, and AUC and metrics at it on the fold's own rows."""
+    made = folds(rows.select(F.col(score).alias("score"), F.col(positive).alias("positive"), text.alias("__t")), F.col("__t"), buckets, used)
+    hist = M.histogram(made, ["fold", "split"])
+    chosen = M.first_best_threshold(hist.where("split = 'train'"), ["fold"])
+    test = hist.where("split = 'test'")
+    own = test.join(chosen, "fold")
+    at = lambda c: F.coalesce(F.sum(F.when(F.col("score") >= F.col("threshold"), F.col(c))), F.lit(0))
+    sums = own.groupBy("fold", "threshold").agg(at("p").alias("tp"), at("n").alias("fp"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    return sums.withColumns(M.rates(F.col("tp"), F.col("fp"), F.col("pos"), F.col("neg"))).join(M.roc_auc(test, ["fold"]), "fold")
+
+
+def score_selection(rows: DataFrame, scores: dict[str, float], positive: str) -> DataFrame:
+    """AUC, average precision and the metrics at its own threshold for each score column."""
+    made = rows.select(F.col(positive).alias("positive"), F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.col(name).cast("double").alias("score"), F.lit(float(t)).alias("threshold")) for name, t in scores.items()))).alias("s")).select("positive", "s.*")
+    hist = M.histogram(made, ["name"])
+    return M.roc_auc(hist, ["name"]).join(M.average_precision(hist, ["name"]), "name").join(M.at_threshold(made, ["name"], F.col("threshold")).select("name", "balanced_accuracy", "mcc"), "name")

@@ -216,3 +216,27 @@ def medoids(pairs: DataFrame, members: DataFrame, cluster: str, key: str) -> Dat
     rows = members.join(sums, F.col(key) == F.col("a"), "left").withColumn("s", F.coalesce("s", F.lit(0.0)) + 1)
     best = rows.groupBy(cluster).agg(F.count("*").alias("members"), F.min_by(F.struct(F.col(key).alias("k"), F.col("s").alias("s")), F.struct((-F.round("s", 9)).alias("x"), F.col(key).alias("y"))).alias("m"))
     return best.select(cluster, "members", F.col("m.k").alias("medoid"), (F.col("m.s") / F.col("members")).alias("mean_similarity"))
+
+
+def taxonomy(prototypes: DataFrame, official: DataFrame, category: str, name: str) -> DataFrame:
+    """Named subtypes of both kinds in one table with where they come from and their place in their category; a name of both kinds is official."""
+    both = prototypes.select(category, name, F.lit("prototype").alias("origin")).unionByName(official.select(category, name, F.lit("official").alias("origin")))
+    one = both.groupBy(category, name).agg(F.min("origin").alias("origin"))  # 'official' comes before 'prototype'
+    return one.withColumn("place", F.row_number().over(W.partitionBy(category).orderBy("origin", name)))
+
+
+def family_metadata(panels: DataFrame, sources: DataFrame, key: str, value: str) -> DataFrame:
+    """Panels with the distinct sources of their key, sorted and joined; blank where there are none."""
+    held = sources.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(value)), "; ").alias("sources"))  # a family's sources are a few names
+    return panels.join(held, key, "left").withColumn("sources", F.coalesce("sources", F.lit("")))
+
+
+def metric_pivot(rows: DataFrame, keys: list[str], name: str, value: str, names: list[str]) -> DataFrame:
+    """One column for each listed name with the mean of its values."""
+    return rows.groupBy(*keys).pivot(name, names).agg(F.avg(value))
+
+
+def compared(rows: DataFrame, one: str, other: str) -> DataFrame:
+    """The difference of two columns, and whether the first is the larger, as yes or no; blank where one is missing."""
+    delta = F.col(one) - F.col(other)
+    return rows.withColumns({"delta": delta, "improved": F.when(delta.isNull(), "").when(delta > 0, "yes").otherwise("no")})

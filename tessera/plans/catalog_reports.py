@@ -329,3 +329,62 @@ def recalibration(spark, d):
 @query("SELECT source, count(*) AS n, count(*) FILTER (CAST(concat('0x', substr(sha256(source), 1, 8)) AS BIGINT) % 2 = 0) AS even FROM documents GROUP BY 1")
 def labelled_sources(spark, d):
     return t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(sampling.S.hash_bucket(F.col("source"), 2) == 0).alias("even"))
+
+
+_BUCKET = "CAST(concat('0x', substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 5"
+
+
+@query(
+    f"""WITH g AS (SELECT fold, positive, score, CASE WHEN bucket = fold THEN 'test' ELSE 'train' END AS split FROM (SELECT *, {_BUCKET} AS bucket FROM {SCORED} AS s) AS q, (VALUES (0), (1), (2)) AS v(fold)),
+    h AS (SELECT fold, split, score, CAST(count(*) FILTER (positive) AS DOUBLE) AS p, CAST(count(*) FILTER (NOT positive) AS DOUBLE) AS n FROM g GROUP BY 1, 2, 3), c AS (SELECT *, sum(p) OVER d AS tp, sum(n) OVER d AS fp, sum(p) OVER a AS pos, sum(n) OVER a AS neg FROM h WINDOW d AS (PARTITION BY fold, split ORDER BY score DESC), a AS (PARTITION BY fold, split)),
+    t AS (SELECT fold, arg_max(score, (round(tp / pos - fp / neg, 12), score)) AS threshold FROM c WHERE split = 'train' GROUP BY 1),
+    u AS (SELECT fold, sum(p * (neg - fp + n / 2)) / (max(pos) * max(neg)) AS auc FROM c WHERE split = 'test' GROUP BY 1)
+    SELECT fold, threshold, auc, avg(CASE WHEN score >= threshold THEN 1e0 ELSE 0e0 END) FILTER (positive) AS sensitivity, avg(CASE WHEN score < threshold THEN 1e0 ELSE 0e0 END) FILTER (NOT positive) AS specificity FROM g JOIN t USING (fold) JOIN u USING (fold) WHERE split = 'test' GROUP BY 1, 2, 3""",
+    "threshold auc sensitivity specificity",
+)
+def fold_evaluation(spark, d):
+    return construction.fold_evaluation(scored(spark, d), F.col("doc_id").cast("string"), 5, [0, 1, 2]).select("fold", "threshold", "auc", "sensitivity", "specificity")
+
+
+@query(f"SELECT lang, source, count(*) AS n, avg(score) AS mean, coalesce(stddev_samp(score), 0) AS sd, min(score) AS least, quantile_cont(score, 0.25) AS q25, quantile_cont(score, 0.5) AS median, quantile_cont(score, 0.75) AS q75, max(score) AS largest FROM {SCORED} AS s WHERE NOT positive GROUP BY 1, 2", "mean sd least q25 median q75 largest")
+def score_distributions(spark, d):
+    from tessera.operators import metrics
+
+    return metrics.summary(scored(spark, d).where("not positive"), ["lang", "source"], "score")
+
+
+@query(
+    f"""WITH x AS (SELECT category = 'PROMO' AS positive, round(p_size / 50e0, 6) AS size_score, round((p_retailprice - 850) / 250e0, 6) AS price_score FROM {PART_SQL} AS p),
+    l AS (SELECT positive, unnest(['size_score', 'price_score']) AS name, unnest([size_score, price_score]) AS score, unnest([0.5e0, 0.3e0]) AS threshold FROM x),
+    h AS (SELECT name, score, CAST(count(*) FILTER (positive) AS DOUBLE) AS p, CAST(count(*) FILTER (NOT positive) AS DOUBLE) AS n FROM l GROUP BY 1, 2), c AS (SELECT *, sum(p) OVER d AS tp, sum(n) OVER d AS fp, sum(p) OVER a AS pos, sum(n) OVER a AS neg FROM h WINDOW d AS (PARTITION BY name ORDER BY score DESC), a AS (PARTITION BY name)),
+    m AS (SELECT name, CAST(count(*) FILTER (positive AND score >= threshold) AS DOUBLE) AS tp, CAST(count(*) FILTER (NOT positive AND score >= threshold) AS DOUBLE) AS fp, CAST(count(*) FILTER (positive) AS DOUBLE) AS pos, CAST(count(*) FILTER (NOT positive) AS DOUBLE) AS neg FROM l GROUP BY 1)
+    SELECT name, auc, average_precision, (tp / pos + (neg - fp) / neg) / 2 AS balanced_accuracy, CASE WHEN (tp + fp) * pos * neg * (pos + neg - tp - fp) > 0 THEN (tp * (neg - fp) - fp * (pos - tp)) / sqrt((tp + fp) * pos * neg * (pos + neg - tp - fp)) ELSE 0 END AS mcc FROM m JOIN (SELECT name, sum(p * (neg - fp + n / 2)) / (max(pos) * max(neg)) AS auc, sum(p / pos * tp / (tp + fp)) AS average_precision FROM c GROUP BY 1) AS a USING (name)""",
+    "auc average_precision balanced_accuracy mcc",
+)
+def score_selection(spark, d):
+    rows = part(spark, d).select((F.col("category") == "PROMO").alias("positive"), F.round(F.col("p_size") / 50.0, 6).alias("size_score"), F.round((F.col("p_retailprice") - 850) / 250.0, 6).alias("price_score"))
+    return construction.score_selection(rows, {"size_score": 0.5, "price_score": 0.3}, "positive")
+
+
+@query("SELECT category, name, origin, CAST(row_number() OVER (PARTITION BY category ORDER BY origin, name) AS INTEGER) AS place FROM (SELECT category, name, min(origin) AS origin FROM (SELECT p_type AS category, p_name AS name, 'prototype' AS origin FROM part WHERE p_size < 20 UNION ALL SELECT p_type, p_name, 'official' FROM part WHERE p_size > 45) AS u GROUP BY 1, 2) AS q")
+def subtype_taxonomy(spark, d):
+    rows = t(spark, d, "part").select(F.col("p_type").alias("category"), F.col("p_name").alias("name"), "p_size")
+    return reporting.taxonomy(rows.where("p_size < 20"), rows.where("p_size > 45"), "category", "name")
+
+
+@query("SELECT r_regionkey, r_name, coalesce((SELECT string_agg(DISTINCT n_name, '; ' ORDER BY n_name) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey < 9), '') AS sources FROM region")
+def family_metadata(spark, d):
+    nations = t(spark, d, "nation").where("n_nationkey < 9").select(F.col("n_regionkey").alias("r_regionkey"), "n_name")
+    return reporting.family_metadata(t(spark, d, "region").select("r_regionkey", "r_name"), nations, "r_regionkey", "n_name")
+
+
+@query("SELECT p_type, avg(p_size) FILTER (p_brand = 'A') AS \"A\", avg(p_size) FILTER (p_brand = 'B') AS \"B\", avg(p_size) FILTER (p_brand = 'C') AS \"C\" FROM (SELECT p_type, p_size, chr(CAST(65 + p_partkey % 4 AS INTEGER)) AS p_brand FROM part) AS q GROUP BY 1", "A B C")
+def metric_pivot(spark, d):
+    rows = t(spark, d, "part").withColumn("name", F.chr(65 + F.col("p_partkey") % 4))
+    return reporting.metric_pivot(rows, ["p_type"], "name", "p_size", ["A", "B", "C"])
+
+
+@query(f"SELECT category, regime, auc_mean - other AS delta, CASE WHEN auc_mean - other IS NULL THEN '' WHEN auc_mean - other > 0 THEN 'yes' ELSE 'no' END AS improved FROM (SELECT *, CASE WHEN ordinal % 3 > 0 THEN balanced_accuracy_mean - 0.2e0 END AS other FROM {_RESULT_SQL} AS r) AS q", "delta")
+def baseline_comparison(spark, d):
+    rows = _results(spark, d).withColumn("other", F.when(F.col("ordinal") % 3 > 0, F.col("balanced_accuracy_mean") - 0.2))
+    return reporting.compared(rows, "auc_mean", "other").select("category", "regime", "delta", "improved")
