@@ -19,10 +19,23 @@ def histogram(scored: DataFrame, keys: list[str], score: str = "score", positive
 
 
 def curve(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """At each distinct score as threshold (>=): true and false positives, and the totals."""
-    down = W.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
+    """At each distinct score as threshold (>=): true and false positives, and the totals.
+
+    Sums run in two levels: inside stretches of 1/256 of the score, and over the
+    stretches' totals, so no task holds all distinct scores of a group.
+    """
+    rows = hist.withColumn("__at", F.floor(F.col("score") * 256))
+    order = W.partitionBy(*keys).orderBy(F.desc("__at")).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
-    return hist.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "pos": F.sum("p").over(whole), "neg": F.sum("n").over(whole)})
+    parts = rows.groupBy(*keys, "__at").agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
+    above = {f"__above_{c}": F.coalesce(F.sum(f"__{c}").over(order), F.lit(0)) for c in "pn"}
+    parts = parts.withColumns(above | {"pos": F.sum("__p").over(whole), "neg": F.sum("__n").over(whole)}).drop("__p", "__n").withColumnsRenamed({k: f"__k_{k}" for k in [*keys, "__at"]})
+    same = F.lit(True)
+    for k in [*keys, "__at"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    down = W.partitionBy(*keys, "__at").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
+    inside = rows.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)}).join(parts, same)
+    return inside.withColumns({"tp": F.col("tp") + F.col("__above_p"), "fp": F.col("fp") + F.col("__above_n")}).select(*hist.columns, "tp", "fp", "pos", "neg")
 
 
 def _rate(a: Column, b: Column) -> Column:
@@ -31,8 +44,7 @@ def _rate(a: Column, b: Column) -> Column:
 
 def roc_auc(hist: DataFrame, keys: list[str]) -> DataFrame:
     """Share of positive-negative pairs in the right order, ties half; 0 with an empty class."""
-    up = W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    rows = hist.withColumn("below", F.coalesce(F.sum("n").over(up), F.lit(0)))
+    rows = curve(hist, keys).withColumn("below", F.col("neg") - F.col("fp"))
     pairs = F.sum(F.col("p") * (F.lit(2) * F.col("below") + F.col("n"))).cast("double")
     both = F.sum("p").cast("double") * F.sum("n")
     return rows.groupBy(*keys).agg(F.when(both > 0, pairs / (F.lit(2.0) * both)).otherwise(F.lit(0.0)).alias("auc"))

@@ -51,6 +51,20 @@ def test_auc_ties_and_one_class(spark):
     assert {r.g: r.threshold for r in metrics.first_best_threshold(h, ["g"]).collect()}["one"] == 0.5
 
 
+def test_curves_over_many_stretches_and_null_groups(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(g, r.uniform(-3, 900), r.random() < 0.4) for g in ("a", None) for _ in range(150)]
+    h = _hist(spark, rows)
+    got = {x.g: x.auc for x in metrics.roc_auc(h, ["g"]).collect()}
+    for g in ("a", None):
+        p, n = ([s for k, s, y in rows if k == g and y == want] for want in (True, False))
+        assert got[g] == pytest.approx(sum((a > b) + (a == b) / 2 for a in p for b in n) / (len(p) * len(n)))
+    c = metrics.curve(h.drop("g"), []).collect()
+    assert all((x.tp, x.fp) == (sum(s >= x.score and y for _, s, y in rows), sum(s >= x.score and not y for _, s, y in rows)) for x in c) and len(c) == 300
+
+
 def test_no_threshold_under_cap(spark):
     h = _hist(spark, [("a", 0.5, True), ("a", 0.5, False)])
 
