@@ -10,8 +10,8 @@ the packing patterns back to the pieces by their rank among the pieces of their
 length.
 
 Ranks are made without a global sort and without gathering a length in one task:
-pieces are spread over hash buckets, ranked inside (length, bucket), and shifted
-by the buckets before.  Size of what the driver handles: the histogram and the
+the pieces of a length are spread over hash buckets, as many as its count asks for,
+ranked inside (length, bucket), and shifted by the buckets before.  Size of what the driver handles: the histogram and the
 groups, of which there are at most two for each length (placing a count makes at
 most one split group and one new one), each with at most 90 distinct lengths.
 
@@ -38,8 +38,8 @@ from tessera.llm._session import cut
 from tessera.llm.tokens import spread, unit_table
 
 CAPACITY = 4096
-#: Pieces that a bucket holds on average.
-BUCKET = 50_000
+#: Pieces that a bucket of a length holds on average.
+BUCKET = 1_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -157,10 +157,10 @@ def slots(groups: list[Group]) -> Slots:
     return Slots(*table.T)
 
 
-def ranked(rows: DataFrame, n: int) -> DataFrame:
-    """rows with a rank from 0 among the rows of their length; n: about how many rows there are."""
-    buckets = max(1, -(-n // BUCKET))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+def ranked(rows: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """rows with a rank from 0 among the rows of their length; histogram: how many those are."""
+    spread_over = rows.sparkSession.createDataFrame([(k, -(-n // BUCKET)) for k, n in histogram.items()], "length long, buckets int")  # a row for each length
+    rows = rows.join(F.broadcast(spread_over), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("buckets")).cast("int")).drop("buckets")
     sums = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sums.select("length", "bucket", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     inside = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1
@@ -189,4 +189,4 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY,
     """All pieces of all texts, with the sequence each lies in and its offset there."""
     rows = cut(pieces(docs, path, end_id, capacity, doc_id, text))
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    return place(ranked(rows, sum(histogram.values())), slots(plan(histogram, capacity)))
+    return place(ranked(rows, histogram), slots(plan(histogram, capacity)))

@@ -125,9 +125,11 @@ def test_token_counts_with_spliced_chunks(spark):
     assert got == {i: (len((t or "").encode()), len(tokens.tokenizer(path).encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)}
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("bucket", [1000, 3])
+def test_packing(spark, bucket, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", bucket)
     r = random.Random(8)
-    rows = [(i, " ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(r.randint(0, 90)))) for i in range(60)] + [(99, None)]
+    rows = [(i, " ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(r.randint(0, 90)))) for i in range(60)] + [(99, None)] + [(200 + i, "alpha beta") for i in range(40)]
     path = tokenizer_path("word_bpe_49k.json")
     got = packing.pack(frame(spark, rows), path, 2, 64).collect()
     ids = {i: [*tokens.tokenizer(path).encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
