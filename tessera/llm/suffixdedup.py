@@ -11,14 +11,20 @@ all others hold windows that start earlier.  Only where it has several, one piec
 each content is sent with its bytes, to the shard of the anchor: what is sent grows
 with the different surroundings of repeats and not with the copies.
 
+An anchor with more pieces than a shard's fair share of all (a line that very many
+texts share, in different surroundings), and with more than HOT, is no shard's work:
+its pieces' windows go one by one, by their own hash, and are settled as pieces are;
+each window then has its own place in the deal.
+
 Each shard sorts its suffixes with common prefixes by external induced sorting
 (`suffix`): in the order of the suffixes, runs whose common prefix reaches WINDOW
 are equal windows; the first by (doc_id, start) stays, the others' bytes go.
 
 Memory of a task: a shard's bytes, its suffixes and their queues are in files of
 the task beyond `memory` bytes; four numbers for each piece are in memory.  Shards
-are as many as the session's shuffle partitions.  Contents are told apart by 64-bit
-hashes of at most 168 bytes, windows by their bytes.
+are as many as the session's shuffle partitions.  Contents, and windows of anchors with
+many pieces, are told apart by 64-bit hashes of at most 168 bytes, other windows by
+their bytes.
 
 Defined cases: a null text is empty; rows without a doc_id keep all bytes; rows
 with one doc_id and different texts count as one document, equal starts as not
@@ -44,6 +50,8 @@ from tessera.llm.tokens import spread
 WINDOW, ANCHOR = 100, 32
 #: Pieces that a task gathers before it tells the equal ones among them apart.
 BUFFER = 300_000
+#: Pieces of an anchor, after equal ones of a buffer are taken as one, up to which they go to one shard whatever its share.
+HOT = 1_000
 _PLACED = "key long, content long, doc_id long, th int, place long"  # place: start, further starts, and whether it is known to be later
 _SHIPPED = "key long, doc_id long, th int, lo int, piece binary"
 _SPANS = "doc_id long, th int, lo int, hi int"
@@ -62,25 +70,44 @@ def placed(rows: DataFrame, window: int, k: int) -> DataFrame:
                 content = T.hash_ranges(body, of[text] + lo, of[text] + hi + window)
                 yield key, content, docs[a:b][text], ths[a:b][text], lo.astype(np.int32), (hi - lo).astype(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, content, doc, th, lo, more in R.buffered(found(batches), BUFFER):
-            order = np.lexsort((lo, doc, content))
-            key, content, doc, th, lo, more = (x[order] for x in (key, content, doc, th, lo, more))
-            fresh = np.append(True, content[1:] != content[:-1])[: len(content)]
-            first = np.maximum.accumulate(np.where(fresh, np.arange(len(content)), 0))
-            later = (doc > doc[first]) | (lo > lo[first])
-            who, start, end = R.merged(doc[later], th[later], lo[later], lo[later] + more[later])
-            spread_key = T.as_long(R.spread_key(who[0], start))
-            wide = start.astype(np.int64) << 33 | (end - start).astype(np.int64) << 2
-            own = lo[~later].astype(np.int64) << 33 | more[~later].astype(np.int64) << 2
-            columns = np.append(T.as_long(key[~later]), spread_key), np.append(T.as_long(content[~later]), spread_key), np.append(doc[~later], who[0]), np.append(th[~later], who[1]), np.append(own, wide | 1)
-            yield from R.batches(columns, _PLACED)
-
-    return rows.mapInArrow(run, _PLACED)
+    return rows.mapInArrow(lambda batches: _fresh(found(batches)), _PLACED)
+
+
+def _fresh(found: Iterator[R.Columns]) -> Iterator[pa.RecordBatch]:
+    for key, content, doc, th, lo, more in R.buffered(found, BUFFER):
+        order = np.lexsort((lo, doc, content))
+        key, content, doc, th, lo, more = (x[order] for x in (key, content, doc, th, lo, more))
+        fresh = np.append(True, content[1:] != content[:-1])[: len(content)]
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(content)), 0))
+        later = (doc > doc[first]) | (lo > lo[first])
+        who, start, end = R.merged(doc[later], th[later], lo[later], lo[later] + more[later])
+        spread_key = T.as_long(R.spread_key(who[0], start))
+        wide = start.astype(np.int64) << 33 | (end - start).astype(np.int64) << 2
+        own = lo[~later].astype(np.int64) << 33 | more[~later].astype(np.int64) << 2
+        columns = np.append(T.as_long(key[~later]), spread_key), np.append(T.as_long(content[~later]), spread_key), np.append(doc[~later], who[0]), np.append(th[~later], who[1]), np.append(own, wide | 1)
+        yield from R.batches(columns, _PLACED)
+
+
+def windows(joined: DataFrame, window: int) -> DataFrame:
+    """Every window of the given ranges as a piece of its own: its hash is its anchor and its content."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[R.Columns]:
+        for batch in batches:
+            data, offsets = T.utf8(batch["text"])
+            row, lo, hi = R.ranges_of(batch["ranges"])
+            docs, ths = np.asarray(batch["doc_id"]), np.asarray(batch["th"])
+            for a, b in T.steps(data, offsets):
+                p, q = np.searchsorted(row, [a, b])
+                n = hi[p:q] - lo[p:q] + 1
+                at, text = spread(lo[p:q], n), np.repeat(row[p:q], n)
+                key = T.hash_windows(T.BYTE_TABLE[data[offsets[a] : offsets[b]]], window)[offsets[text] - offsets[a] + at] if len(at) else np.zeros(0, np.uint64)
+                yield key, key, docs[text], ths[text], at.astype(np.int32), np.zeros(len(at), np.int32)
+
+    return joined.mapInArrow(lambda batches: _fresh(found(batches)), _PLACED)
 
 
 def settled(found: DataFrame) -> DataFrame:
-    """doc_id, th, lo, hi and `ship` of pieces known to be later (ship: false), and of those whose anchor has other contents too (true).
+    """doc_id, th, lo, hi and `ship` of pieces known to be later (0), and of those whose anchor has other contents too (the anchor's number of pieces).
 
     A spread key may equal an anchor's by chance; that only ships a piece too many.
     """
@@ -90,10 +117,10 @@ def settled(found: DataFrame) -> DataFrame:
     several = found.withColumn("n", F.count("*").over(same)).withColumn("a", F.min("content").over(same)).withColumn("b", F.max("content").over(same)).where(known | F.expr("n > 1"))
     first = F.min(F.when(~known, F.struct("doc_id", "place"))).over(W.partitionBy("key", "content"))
     later = known | F.expr("doc_id > first.doc_id or shiftrightunsigned(place, 33) > shiftrightunsigned(first.place, 33)")
-    return several.withColumn("first", first).select("doc_id", "th", lo.alias("lo"), (lo + more).alias("hi"), (~later).alias("ship"), "a", "b").where("not ship or a <> b").drop("a", "b")
+    return several.withColumn("first", first).select("doc_id", "th", lo.alias("lo"), (lo + more).alias("hi"), F.when(later, F.lit(0)).otherwise(F.col("n")).alias("ship"), "a", "b").where("ship = 0 or a <> b").drop("a", "b")
 
 
-def pieces(rows: DataFrame, ranges: DataFrame, window: int, k: int, small: bool) -> DataFrame:
+def pieces(joined: DataFrame, window: int, k: int) -> DataFrame:
     """The bytes of every piece whose windows start in the given ranges, with its anchor's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +139,7 @@ def pieces(rows: DataFrame, ranges: DataFrame, window: int, k: int, small: bool)
                 who = pa.array(row[p:q][stretch])
                 yield pa.RecordBatch.from_arrays([pa.array(T.as_long(key)), batch["doc_id"].take(who), batch["th"].take(who), pa.array((lo[p:q][stretch] + first).astype(np.int32)), body.cast(pa.binary())], R.names(_SHIPPED))
 
-    return R.with_ranges(rows, ranges, "inner", small).mapInArrow(run, _SHIPPED)
+    return joined.mapInArrow(run, _SHIPPED)
 
 
 def shards(shipped: DataFrame, window: int, memory: int = MEMORY) -> DataFrame:
@@ -152,9 +179,16 @@ def remove(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, doc_id: str =
     rows = R.identified(docs, doc_id, text)
     known, others = rows.where("doc_id is not null"), rows.where("doc_id is null")
     found = cut(settled(placed(known, window, k)))
-    ship = cut(R.gathered(found.where("ship").drop("ship")))
+    share = found.where("ship > 0").count() // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    range_of, hot = F.struct("lo", "hi"), F.col("ship") > max(HOT, share)
+    ship = cut(found.where("ship > 0").groupBy("doc_id", "th").agg(F.collect_list(range_of).alias("ranges"), F.collect_list(F.when(~hot, range_of)).alias("whole"), F.collect_list(F.when(hot, range_of)).alias("single")))
     small = R.few(ship)
-    spans = R.gathered(found.where("not ship").drop("ship").unionByName(shards(pieces(known, ship, window, k, small), window, memory)))
+    joined = R.with_ranges(known, ship.drop("ranges"), "inner", small)
+    to = lambda c: joined.select("doc_id", "th", "text", F.col(c).alias("ranges"))
+    later = found.where("ship = 0").drop("ship").unionByName(shards(pieces(to("whole"), window, k), window, memory))
+    if not ship.where("size(single) > 0").isEmpty():
+        later = later.unionByName(settled(windows(to("single"), window)).drop("ship"))  # one content each: none is left to ship
+    spans = R.gathered(later)
     if small:
         spans = cut(spans)
         small = R.few(spans)

@@ -40,6 +40,20 @@ def test_suffix_dedup(spark):
     assert got == suffixdedup.reference(rows)
 
 
+@pytest.mark.parametrize("parts", [4, 50])
+def test_suffix_dedup_of_anchors_with_many_pieces(spark, parts, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "HOT", 0)
+    seen = []
+    monkeypatch.setattr(suffixdedup, "windows", lambda joined, window, f=suffixdedup.windows: seen.append(1) or f(joined, window))
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    r = random.Random(9)
+    line, long_line = "a line that very many texts share, word by word", "".join(r.choice("abcdefgh ") for _ in range(140))
+    rows = [(i, "".join(r.choice("mnop ") for _ in range(r.randint(0, 80))) + r.choice([line, long_line]) + "".join(r.choice("qr ") for _ in range(r.randint(0, 60)))) for i in range(60)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixdedup.digest(suffixdedup.remove(frame(spark, rows))).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == suffixdedup.reference(rows) and seen
+
+
 def test_substring_dedup(spark):
     r = random.Random(2)
     rows = mixed(2, [" ".join(r.choice("abcdef") for _ in range(r.randint(5, 50))) + " " for _ in range(6)])
