@@ -40,6 +40,8 @@ from tessera.llm.tokens import spread, unit_table
 CAPACITY = 4096
 #: Pieces that a bucket of a length holds on average.
 BUCKET = 1_000
+#: Bytes of text whose words are looked up at a time; bounds the worker's memory.
+STEP = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -52,7 +54,7 @@ def ids_of(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, np.n
     """(row, its ids with the end id) of every text."""
     data, offsets = T.utf8(column)
     table = unit_table(path, solid_units)
-    for a, b in T.steps(data, offsets):
+    for a, b in T.steps(data, offsets, STEP):
         d, o = T.sub(data, offsets, a, b)
         starts, ends, of = solid_units(d, o)
         begin, sizes = table.look_up(d, starts, ends) if len(starts) else (np.zeros(0, np.int64), np.zeros(0, np.int64))

@@ -23,6 +23,7 @@ their own result; other columns are not read.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -39,8 +40,10 @@ from tessera.llm._session import cut
 CHUNK, OVERLAP = 65_536, 2_048
 #: No boundary closer to a chunk's cut end counts: a special token or a look-ahead may reach beyond the cut.
 MARGIN = 64
-#: Units that a worker keeps between batches.
-TABLE = 1_000_000
+#: Units that a worker keeps between batches, and their ids for each on average.
+TABLE, IDS_EACH = 1_000_000, 8
+#: Units that are encoded at a time; the library's encoding of one is some hundred bytes.
+SLICE = 4_096
 
 
 @functools.lru_cache(4)
@@ -74,41 +77,49 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class UnitTable:
-    """Token ids of units by their hash: sorted keys, and the ids one after another."""
+    """Token ids of units by their hash: sorted keys with the number of each one's entry, and the entries' ids one after another, as they came."""
 
     def __init__(self, path: str, split=units, keep: int = TABLE):
         self.tokenizer, self.split, self.keep = tokenizer(path), split, keep
-        self.keys, self.ends, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ends, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each unit where its ids begin in self.ids, and their number."""
         hashes = T.hash_ranges(data, starts, ends)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        known = np.isin(distinct, self.keys, assume_unique=True) if len(self.keys) else np.zeros(len(distinct), bool)
+        at = np.searchsorted(self.keys, distinct)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
         if not known.all():
             new = first[~known]
-            raw = data.tobytes()
-            found = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], add_special_tokens=False)
-            self._add(distinct, distinct[~known], [x.ids for x in found])
-        at = np.searchsorted(self.keys, distinct)
-        return self.ends[at][back], (self.ends[at + 1] - self.ends[at])[back]
-
-    def _add(self, needed: np.ndarray, keys: np.ndarray, ids: list[list[int]]) -> None:
-        flat = np.fromiter((i for x in ids for i in x), np.uint32)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        old_keys, old_sizes, old_starts = self.keys, np.diff(self.ends), self.ends[:-1]
-        if len(old_keys) + len(keys) > self.keep:  # start anew with what this batch needs
-            stay = np.isin(old_keys, needed, assume_unique=True)
-            old_keys, old_sizes, old_starts = old_keys[stay], old_sizes[stay], old_starts[stay]
-        all_keys = np.concatenate([old_keys, keys])
-        all_sizes = np.concatenate([old_sizes, sizes])
-        all_starts = np.concatenate([old_starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        order = np.argsort(all_keys)
-        source = np.concatenate([self.ids, flat])
-        sizes, starts = all_sizes[order], all_starts[order]
-        self.keys = all_keys[order]
-        self.ends = np.concatenate([[0], np.cumsum(sizes)])
-        self.ids = source[spread(starts, sizes)]
+            if len(self.keys) + len(new) > self.keep or len(self.ids) > IDS_EACH * self.keep:  # start anew with what this batch needs
+                self._only(at[known])
+            self._add(distinct[~known], data, starts[new], ends[new])
+            at = np.searchsorted(self.keys, distinct)
+        entry = self.entry[at]
+        begin = self.ends[entry]
+        return begin[back], (self.ends[entry + 1] - begin)[back]
+
+    def _only(self, at: np.ndarray) -> None:
+        """Forget all keys but those at `at`."""
+        begin = self.ends[self.entry[at]]
+        sizes = self.ends[self.entry[at] + 1] - begin
+        self.keys, self.entry = self.keys[at], np.arange(len(at), dtype=np.int32)
+        self.ends, self.ids = np.concatenate([[0], np.cumsum(sizes)]), self.ids[spread(begin, sizes)]
+
+    def _add(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Entries for new keys, in order; the library's encodings of a slice are in memory at a time, the table is never gathered anew."""
+        raw, ids, sizes = data.tobytes(), [self.ids], []
+        for a in range(0, len(keys), SLICE):
+            found = self.tokenizer.encode_batch_fast([raw[x:y].decode() for x, y in zip(starts[a : a + SLICE].tolist(), ends[a : a + SLICE].tolist(), strict=True)], add_special_tokens=False)
+            lists = [x.ids for x in found]
+            sizes += map(len, lists)
+            ids.append(np.fromiter(itertools.chain.from_iterable(lists), np.uint32))
+        at = np.searchsorted(self.keys, keys)
+        self.entry = np.insert(self.entry, at, np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32))
+        self.keys = np.insert(self.keys, at, keys)
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(sizes))
+        self.ids = np.concatenate(ids)
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tessera.llm import _text as T
 from tessera.llm import bitsliced, chat, decontaminate, packing, pii, quality, suffix, tokens
 from tessera.llm.queries import tokenizer_path
 
@@ -100,6 +101,39 @@ def test_counts_and_ids_are_the_librarys():
             assert [x.tolist() for _, x in packing.ids_of(pa.array(texts), path, 2)] == [[*x, 2] for x in want]
 
 
+def test_unit_table_starts_anew_with_the_same_ids():
+    r = random.Random(5)
+    path = tokenizer_path("word_bpe_49k.json")
+    table = tokens.UnitTable(path, packing.solid_units, keep=40)
+    most = 0
+    for _ in range(60):
+        words = ["".join(r.choice("abcxyz019") for _ in range(r.randint(1, 5 if r.random() < 0.95 else 900))) for _ in range(r.randint(1, 30))]
+        data, offsets = T.utf8(pa.array([" ".join(words)]))
+        begin, sizes = table.look_up(data, *packing.solid_units(data, offsets)[:2])
+        got = [table.ids[a : a + n].tolist() for a, n in zip(begin, sizes, strict=True)]
+        assert got == [tokens.tokenizer(path).encode(w, add_special_tokens=False).ids for w in words]
+        most = max(most, len(table.keys))
+    assert 20 < most <= 40
+
+
+def test_unit_table_never_gathers_its_ids_anew():
+    import tracemalloc
+
+    r = random.Random(6)
+    path = tokenizer_path("word_bpe_49k.json")
+    texts = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(1000)) for _ in range(300)]
+    column = pa.array(texts)
+    list(packing.ids_of(column.slice(0, 1), path, 2))  # the tokenizer and the powers of the hashes stay
+    tokens._tables.clear()
+    tracemalloc.start()
+    n = sum(len(x) for _, x in packing.ids_of(column, path, 2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 300_000 and len(tokens._tables[path, "solid_units"].keys) > 290_000
+    # 11 MB of table and 2 MB of texts; with ids moved by an index for each one, and 2 MB of text at a time, it was 173 MB
+    assert peak < 40_000_000
+
+
 def test_plan_places_every_piece_once():
     r = random.Random(2)
     for _ in range(30):
