@@ -31,6 +31,8 @@ NAMES = ("log_words", "word_length", "upper", "digit", "symbol", "stop", "comma"
 N_FEATURES = len(NAMES)
 #: Weight of the pooled covariance, and of its diagonal, in each class's.
 SHRINK_POOLED, SHRINK_DIAGONAL = 0.1, 0.1
+#: Bytes of text whose statistics are taken at a time; bounds the worker's memory.
+STEP = 500_000
 #: Least variance of a feature.
 RIDGE = 1e-4
 
@@ -57,7 +59,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of N_FEATURES for each text."""
     n = len(offsets) - 1
     out = np.zeros((n, N_FEATURES))
-    for a, b in T.steps(data, offsets):
+    for a, b in T.steps(data, offsets, STEP):
         d, o = T.sub(data, offsets, a, b)
         starts, ends, of = T.words(d, o)
         m, size = np.diff(of), np.diff(o)

@@ -134,6 +134,22 @@ def test_unit_table_never_gathers_its_ids_anew():
     assert peak < 40_000_000
 
 
+def test_quality_statistics_work_on_short_stretches():
+    import tracemalloc
+
+    r = random.Random(7)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(1000)) for _ in range(800)]
+    data, offsets = T.utf8(pa.array(texts))
+    want = np.concatenate([quality.features(*T.sub(data, offsets, k, k + 1)) for k in range(0, 800, 40)])
+    tracemalloc.start()
+    got = quality.features(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[::40] == want).all()
+    # 4 MB of text; 2 MB of it at a time take more
+    assert peak < 25_000_000
+
+
 def test_plan_places_every_piece_once():
     r = random.Random(2)
     for _ in range(30):
