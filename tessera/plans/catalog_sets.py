@@ -258,9 +258,7 @@ def cluster_structure(spark, d):
 
 @query()
 def neighbour_clusters(spark, d):
-    v = _vectors(spark, d)
-    pairs = similarity.pair_similarities(v, v, "vec_id", "vec_id", "features", 0.4)
-    return similarity.neighbour_clusters(pairs, v, "vec_id")
+    return similarity.set_clusters(_vectors(spark, d), "vec_id", "features", 0.4)
 
 
 @query("WITH s AS (SELECT p_type AS m, list(DISTINCT p_name) FILTER (p_size > 40) AS f FROM part GROUP BY 1) SELECT a.m AS a, b.m AS b, CASE WHEN len(list_distinct(list_concat(a.f, b.f))) = 0 THEN 1e0 ELSE len(list_intersect(a.f, b.f)) / len(list_distinct(list_concat(a.f, b.f))) END AS jaccard FROM s a JOIN s b ON a.m < b.m", "jaccard")
