@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import blocks
+from tessera.session import checkpointed
+
 # -- decisions ------------------------------------------------------------------------------------------------
 
 
@@ -207,15 +210,18 @@ def evidence_families(members: DataFrame, cluster: str, key: str, flags: list[st
     return rows.select(cluster, "place", "members", F.array_join(F.transform(good, lambda x: x["name"]), "; ").alias("top_motifs"), *(f"median_{p}" for p in props))
 
 
-def medoids(pairs: DataFrame, members: DataFrame, cluster: str, key: str) -> DataFrame:
-    """Each cluster's member of most mean similarity to all members (itself at 1), ties to the smaller key.  pairs: a, b, similarity, one row for each two members that share anything."""
-    of = lambda name: members.select(F.col(key).alias(name), F.col(cluster).alias(f"c_{name}"))
-    inner = pairs.where("a <> b").join(of("a"), "a").join(of("b"), "b").where("c_a = c_b").select("a", "b", "similarity")
-    both = inner.unionByName(inner.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).distinct()
-    sums = both.groupBy("a").agg(F.sum("similarity").alias("s"))
-    rows = members.join(sums, F.col(key) == F.col("a"), "left").withColumn("s", F.coalesce("s", F.lit(0.0)) + 1)
-    best = rows.groupBy(cluster).agg(F.count("*").alias("members"), F.min_by(F.struct(F.col(key).alias("k"), F.col("s").alias("s")), F.struct((-F.round("s", 9)).alias("x"), F.col(key).alias("y"))).alias("m"))
-    return best.select(cluster, "members", F.col("m.k").alias("medoid"), (F.col("m.s") / F.col("members")).alias("mean_similarity"))
+def medoids(members: DataFrame, cluster: str, key: str, features: str) -> DataFrame:
+    """Each cluster's member of most mean similarity to all members (itself at 1), ties to the smaller key; members without features are like themselves only.
+
+    Members of a cluster with the same set have the same sum, so each set is compared once, with its members as weight.
+    """
+    rows = members.where(F.col(cluster).isNotNull()).select(F.col(cluster).alias("c"), F.col(key).alias("a"), F.col(features).alias("f"))
+    one = checkpointed(blocks.sets(rows, "f", "c", "a").groupBy("c", "f").agg(F.min("a").alias("a"), F.count("*").alias("x")))
+    sums = blocks.compared(one.select("c", "a", "f"), one.select("c", "f", "x"), "sums", by="c").groupBy("a").agg(F.sum("s").alias("s"))
+    bare = rows.where(F.coalesce(F.size(F.array_compact("f")), F.lit(0)) <= 0).select("c", "a", F.lit(1.0).alias("s"))
+    rest = one.select("c", "a").join(sums, "a").select("c", "a", "s").unionByName(bare)
+    best = rest.groupBy("c").agg(F.min_by(F.struct(F.col("a").alias("k"), "s"), F.struct((-F.round("s", 9)).alias("x"), F.col("a").alias("y"))).alias("m"))
+    return best.join(rows.groupBy("c").agg(F.count("*").alias("members")), "c").select(F.col("c").alias(cluster), "members", F.col("m.k").alias("medoid"), (F.col("m.s") / F.col("members")).alias("mean_similarity"))
 
 
 def taxonomy(prototypes: DataFrame, official: DataFrame, category: str, name: str) -> DataFrame:

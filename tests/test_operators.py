@@ -263,3 +263,63 @@ def test_promotion_failures_in_order(spark):
     bad = good | {"seed_count": 2, "least_auc_ci": float("nan"), "worst_off_target": 0.7, "pattern_stability": 0.1}
     got = [r.failure_reasons for r in construction.promotion_failures(spark.createDataFrame([good, bad])).orderBy("seed_count").collect()]
     assert got == ["insufficient_scaffold_seeds;paired_auc_ci_not_positive;cross_category_off_target_rate;selected_pattern_instability", ""]
+
+
+def _random_sets(seed, n, names):
+    import random
+
+    r = random.Random(seed)
+    # one name in nearly all sets, some frequent, many rare; every fifth set is a copy, some are empty
+    made = [sorted({"all"} | {f"often{r.randrange(12)}" for _ in range(r.randrange(8))} | {f"rare{r.randrange(names)}" for _ in range(r.randrange(6))} - ({"all"} if r.random() < 0.1 else set())) for _ in range(n)]
+    return {k: made[k - 1] if k % 5 == 4 else ([] if k % 37 == 0 else made[k]) for k in range(n)}
+
+
+def _jaccard(a, b):
+    return len(set(a) & set(b)) / max(len(set(a) | set(b)), 1)
+
+
+def test_similarities_by_blocks_make_no_pairs(spark, monkeypatch):
+    from tessera.operators import blocks
+
+    monkeypatch.setattr(blocks, "LEAST", 500)  # several cells
+    one, two = _random_sets(1, 150, 300), _random_sets(2, 120, 300)
+    rows = spark.createDataFrame(list(one.items()), "id long, f array<string>")
+    reference = spark.createDataFrame([(k, f, "xyz"[k % 3]) for k, f in two.items()], "id long, f array<string>, c string")
+    most = {k: max(_jaccard(f, g) for g in two.values()) for k, f in one.items()}
+    made = similarity.max_similarity(rows, reference, "id", "id", "f")
+    assert {r.id: r.max_similarity for r in made.collect()} == most
+    assert "explode(f" not in made._jdf.queryExecution().analyzed().toString()  # no inverted index, whose pairs grow with the square of a feature's rows
+    assert {r.id for r in similarity.keep_unlike(rows, reference, "id", "id", "f", 0.5).collect()} == {k for k, s in most.items() if s < 0.5}
+    got = {r.id: (r.nearest, r.similarity) for r in similarity.nearest_category(rows, reference, "id", "id", "f", "c", ["y", "x", "z"]).collect()}
+    first = {k: [c for c in "yxz" if any(_jaccard(f, g) == most[k] for i, g in two.items() if "xyz"[i % 3] == c)][0] if most[k] else None for k, f in one.items()}
+    assert got == {k: (first[k], most[k]) for k in one}
+
+
+def test_set_clusters_and_medoids_of_whole_tables(spark, monkeypatch):
+    from tessera.operators import blocks, reporting
+
+    monkeypatch.setattr(blocks, "LEAST", 500)
+    sets = _random_sets(3, 160, 40)
+    rows = spark.createDataFrame([(k, f, k % 3) for k, f in sets.items()], "id long, f array<string>, c long")
+    near = {k: [j for j, g in sets.items() if j != k and _jaccard(f, g) >= 0.5] for k, f in sets.items()}
+    want = {}
+    for k in sorted(near, key=lambda k: (-len(near[k]), k)):
+        if k not in want:
+            want[k] = k
+            want |= {j: k for j in near[k] if j not in want}
+    for most in (similarity.ONE_TASK, 10):  # by one task, and in rounds
+        monkeypatch.setattr(similarity, "ONE_TASK", most)
+        assert {r["item"]: r.centre for r in similarity.set_clusters(rows, "id", "f", 0.5).collect()} == want
+    got = {r.c: (r.members, r.medoid, round(r.mean_similarity, 9)) for r in reporting.medoids(rows, "c", "id", "f").collect()}
+    for c in range(3):
+        own = [k for k in sets if k % 3 == c]
+        total = {k: sum(1 if j == k else _jaccard(sets[j], sets[k]) for j in own) for k in own}
+        best = min(own, key=lambda k: (-round(total[k], 9), k))
+        assert got[c] == (len(own), best, round(total[best] / len(own), 9))
+
+
+def test_cluster_medoids_reads_its_whole_table(spark):
+    from tessera.plans import catalog_reports
+
+    data = "/root/testdata/sf0.001"
+    assert sum(r.members for r in catalog_reports.cluster_medoids(spark, data).collect()) == spark.read.parquet(f"{data}/embeddings.parquet").count()
