@@ -8,10 +8,17 @@ group keys, score (double) and positive (boolean).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.session import checkpointed
+
+#: Tables with so many groups at most are broadcast.
+GROUPS = 100_000
+
 
 def histogram(scored: DataFrame, keys: list[str], score: str = "score", positive: str = "positive") -> DataFrame:
     """keys, score, p and n: positives and negatives at each distinct score."""
@@ -180,11 +187,57 @@ def summary(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     return values.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("sd"), F.min(v).alias("least"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max(v).alias("largest"))
 
 
+def _counted(groups: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """One row for each group, kept, and what such tables are joined with: broadcast up to GROUPS of them, so rows stay where they are."""
+    groups = checkpointed(groups)
+    return groups, F.broadcast if groups.count() <= GROUPS else lambda df: df
+
+
+def quantiles(values: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """keys and ends: each group's exact quantiles, interpolated between the two values next to share * (n - 1); groups without values are left out.
+
+    No task holds a group's distinct values: approximate quantiles cut each group in
+    stretches, their rows are counted, and only values of the stretches with a wanted
+    rank are sorted.  Any cuts give the right result; good ones leave few values.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    rows = values.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    near = sorted({min(max(p + d, 0.0), 1.0) for p in shares for d in (-0.005, 0.005)})
+    cuts = rows.groupBy(*names).agg(F.percentile_approx("__v", near, F.lit(10_000)).alias("__cuts")).withColumnsRenamed({n: f"{n}c" for n in names})
+    cuts, small = _counted(cuts)
+
+    def same(suffix: str) -> Column:
+        test = F.lit(True)
+        for n in names:
+            test = test & F.col(n).eqNullSafe(F.col(f"{n}{suffix}"))
+        return test
+
+    stretch = sum(((F.col("__v") >= F.col("__cuts")[i]).cast("int") for i in range(len(near))), F.lit(0))
+    dealt = rows.join(small(cuts), same("c")).select(*names, "__v", stretch.alias("__at"))
+    counts = dealt.groupBy(*names, "__at").agg(F.count("*").alias("__n"))
+    order = W.partitionBy(*names).orderBy("__at")
+    whole = W.partitionBy(*names)  # as many rows as stretches
+    counts = counts.withColumns({"__before": F.sum("__n").over(order) - F.col("__n"), "__all": F.sum("__n").over(whole)})
+    place = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("__all") - 1)).alias("r")) for i, p in enumerate(shares))))
+    ranks = counts.withColumn("__w", place).withColumn("__rank", F.explode(F.array(F.floor("__w.r"), F.ceil("__w.r"))))
+    wanted = ranks.where((F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__n"))).select(*names, "__at", "__before", F.col("__w.i").alias("__i"), F.col("__w.r").alias("__r"), "__rank").distinct()
+    stretches = wanted.select(*names, "__at", "__before").distinct().withColumnsRenamed({**{n: f"{n}s" for n in names}, "__at": "__ats"})
+    hist = dealt.join(small(stretches), same("s") & (F.col("__at") == F.col("__ats"))).groupBy(*names, "__at", "__before", "__v").agg(F.count("*").alias("__n"))
+    upto = hist.withColumn("__upto", F.col("__before") + F.sum("__n").over(W.partitionBy(*names, "__at").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)))
+    wanted = wanted.withColumnsRenamed({**{n: f"{n}w" for n in names}, "__at": "__atw"}).drop("__before")
+    hits = upto.join(wanted, same("w") & (F.col("__at") == F.col("__atw")) & (F.col("__rank") < F.col("__upto")) & (F.col("__rank") >= F.col("__upto") - F.col("__n")))
+    share = F.col("__r") - F.floor("__r")
+    low, high = F.max(F.when(F.col("__rank") == F.floor("__r"), F.col("__v"))), F.max(F.when(F.col("__rank") == F.ceil("__r"), F.col("__v")))
+    ends = hits.groupBy(*names, "__i").agg((F.when(low == high, low).otherwise((1 - F.max(share)) * low + F.max(share) * high)).alias("__q"))
+    found = ends.groupBy(*names).agg(*(F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(f"__q{i}") for i in range(len(shares))))
+    return found.select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), F.array(*(f"__q{i}" for i in range(len(shares)))).alias("ends"))
+
+
 def trimmed(values: DataFrame, keys: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Mean and sample deviation (at least 1e-6) of the values between two quantiles, inclusive."""
     v = F.col(value).cast("double")
-    ends = values.groupBy(*keys).agg(F.percentile(v, F.array(F.lit(low), F.lit(high))).alias("ends"))
-    rows = values.join(ends, keys).where(v.between(F.col("ends")[0], F.col("ends")[1]))
+    ends, small = _counted(quantiles(values, keys, value, [low, high]))
+    rows = values.join(small(ends), keys).where(v.between(F.col("ends")[0], F.col("ends")[1]))
     return rows.groupBy(*keys).agg(F.avg(v).alias("mean"), F.greatest(F.coalesce(F.stddev_samp(v), F.lit(0.0)), F.lit(1e-6)).alias("sd"))
 
 
