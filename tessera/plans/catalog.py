@@ -151,8 +151,10 @@ _ALL_SQL = f"""(SELECT *, CASE WHEN valid AND round(score, 9) >= threshold THEN
 
 
 def _all(spark, d):
+    # entities are dealt before they are scored, by a fixed number: rows are a fraction of the scores', and what groups or ranks an entity's scores sends none
+    entities = part(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "entity_id")
     # scores are cut at nine decimals, so that equal ones stay equal in any arithmetic
-    rows = scoring.score_all(part(spark, d), MODELS, "entity_id", F.col("p_size") > 3)
+    rows = scoring.score_all(entities, MODELS, "entity_id", F.col("p_size") > 3)
     return rows.withColumn("score", F.round("score", 9)).withColumn("margin", F.when(F.col("valid"), F.round(F.col("score") - F.col("threshold"), 9)).otherwise(F.col("margin")))
 
 
