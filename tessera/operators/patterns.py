@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.session import checkpointed
+
+#: So many retained units at most are broadcast; beyond, they and the rows meet by an exchange.
+BROADCAST = 200_000
+
 
 def unpivot_flags(rows: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
     """keys, pattern and hit for each boolean column, in one pass."""
@@ -95,17 +100,23 @@ def candidate_summary(units: DataFrame, retained: DataFrame, categories: DataFra
 
     units: method, entity_id, category, unit; retained: method, unit; categories: category
     and total, one row each.  A category has a unit that `least_prevalence` of its
-    entities have.
+    entities have.  Units that are dealt by entity are not sent again before they are counted.
     """
-    kept = units.join(retained.select("method", "unit").distinct(), ["method", "unit"])
+    rows = units.select("method", "entity_id", "category", "unit")
+    names = checkpointed(retained.select("method", "unit").distinct())
+    if names.count() <= BROADCAST:
+        kept = rows.join(F.broadcast(names), ["method", "unit"])
+    else:  # the join deals rows by unit
+        kept = rows.join(names, ["method", "unit"]).repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity_id")
     counts = kept.dropDuplicates(["method", "entity_id", "category", "unit"]).groupBy("method", "category", "unit").agg(F.count("*").alias("n")).where(F.col("n") >= least_prevalence)
+    counts = checkpointed(counts)  # read four times
     breadth = counts.groupBy("method", "unit").agg(F.count("*").alias("b"))
-    per = retained.select("method", "unit").distinct().join(breadth, ["method", "unit"], "left").withColumn("b", F.coalesce("b", F.lit(0)))
+    per = names.join(breadth, ["method", "unit"], "left").withColumn("b", F.coalesce("b", F.lit(0)))
     share = lambda test: F.avg(test.cast("double"))
     out = per.groupBy("method").agg(F.count("*").alias("units"), share(F.col("b") == 1).alias("exclusive"), share(F.col("b") > 1).alias("shared"), share(F.col("b") >= 3).alias("in_three"), F.avg("b").alias("mean_breadth"))
     covered = kept.select("method", "entity_id", "category").distinct().groupBy("method").agg(F.count("*").alias("coverage"))
     # pairs of categories: their number is a dimension's; shared units come from each unit's own categories
-    sizes = categories.select("category").crossJoin(F.broadcast(retained.select("method").distinct())).join(counts.groupBy("method", "category").agg(F.count("*").alias("n")), ["method", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    sizes = categories.select("category").crossJoin(F.broadcast(names.select("method").distinct())).join(counts.groupBy("method", "category").agg(F.count("*").alias("n")), ["method", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     one, two = sizes.select("method", F.col("category").alias("a"), F.col("n").alias("na")), sizes.select("method", F.col("category").alias("b"), F.col("n").alias("nb"))
     both = counts.select("method", "unit", F.col("category").alias("a")).join(counts.select("method", "unit", F.col("category").alias("b")), ["method", "unit"]).where("a < b").groupBy("method", "a", "b").agg(F.count("*").alias("s"))
     pairs = one.join(two, "method").where("a < b").join(both, ["method", "a", "b"], "left").withColumn("s", F.coalesce("s", F.lit(0)))

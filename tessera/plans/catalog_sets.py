@@ -161,13 +161,18 @@ _METHODS = "(SELECT 'word' AS method, p_partkey AS e, p_type AS category, unnest
     "exclusive shared in_three mean_breadth mean_pairwise_jaccard coverage_fraction",
 )
 def candidate_summary(spark, d):
-    rows = t(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("category"), F.split("p_name", " ").alias("word"), F.array("p_brand").alias("brand"))
-    rows = rows.withColumn("hybrid", F.array_union("word", "brand"))
-    units = rows.select("entity_id", "category", F.explode(F.create_map(*(x for m in ("word", "brand", "hybrid") for x in (F.lit(m), F.col(m)))))).select("entity_id", "category", F.col("key").alias("method"), F.explode("value").alias("unit")).distinct()
+    rows, units = _candidate_units(spark, d)
     retained = units.groupBy("method", "unit").agg(F.count("*").alias("n")).where("n >= 40")
     return patterns.candidate_summary(units, retained, rows.groupBy("category").agg(F.count("*").alias("total")), 12)
 
 
+def _candidate_units(spark, d):
+    rows = t(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("category"), F.split("p_name", " ").alias("word"), F.array("p_brand").alias("brand"))
+    # entities are dealt before their units are taken out, so that equal units of an entity meet without being sent
+    rows = rows.withColumn("hybrid", F.array_union("word", "brand")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "entity_id")
+    return rows, rows.select("entity_id", "category", F.explode(F.create_map(*(x for m in ("word", "brand", "hybrid") for x in (F.lit(m), F.col(m)))))).select("entity_id", "category", F.col("key").alias("method"), F.explode("value").alias("unit")).distinct()
+
+
 @query("SELECT pattern, count(DISTINCT model_id) AS models, count(DISTINCT category) AS categories, string_agg(DISTINCT model_id, ';' ORDER BY model_id) AS model_ids, string_agg(DISTINCT category, ';' ORDER BY category) AS category_names, count(DISTINCT model_id) > 1 AS shared FROM (SELECT p_name AS pattern, p_brand AS model_id, p_type AS category FROM part) AS q GROUP BY 1")
 def pattern_reuse(spark, d):
     return patterns.reuse(t(spark, d, "part").select(F.col("p_name").alias("pattern"), F.col("p_brand").alias("model_id"), F.col("p_type").alias("category")))

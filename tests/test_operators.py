@@ -336,3 +336,53 @@ def test_canonical_counts_same_as_sql_on_odd_texts(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert got == set(c.execute(catalog.SQL["canonical_counts"]).fetchall())
+
+
+def test_walk_by_matrix_and_by_edges(spark, monkeypatch):
+    import random
+
+    r = random.Random(9)
+    edges = spark.createDataFrame([(e, f"f{f}") for e in range(200) for f in {r.randrange(30) for _ in range(r.randrange(1, 5))}] + [(None, "f1"), (7, None)], "e long, f string")
+    restart = spark.createDataFrame([(e,) for e in range(0, 260, 3)], "e long")  # some have no edges
+    walk = lambda few, **more: monkeypatch.setattr(graph, "FEW", few) or {x.f: x.score for x in graph.bipartite_walk(edges, "e", "f", **more).collect()}
+    for more in ({"iterations": 5, "tolerance": None}, {"restart": restart, "iterations": 6, "tolerance": None}):
+        assert walk(1000, **more) == pytest.approx(walk(0, **more), abs=1e-12)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()  # the edges are read from the cut
+
+
+def test_network_patterns_makes_few_cuts(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(graph, "checkpointed", lambda df, keep=graph.checkpointed: cuts.append(1) or keep(df))
+    sides = [spark.createDataFrame([(i, (i * k) % 7) for i in range(60) for k in range(1, 3 + own)], "e long, f long") for own in (0, 1)]
+    graph.network_patterns(*sides, "e", "f", 0.01, 0.0).collect()
+    assert len(cuts) < 10  # no cut for each of the walk's steps
+
+
+def test_quantiles_are_exact_without_a_table_of_values(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(4)
+    groups = {"many": [r.gauss(0, 1) for _ in range(3000)], "ties": [float(r.randrange(3)) for _ in range(500)], "far": [1e300, -1e300, *(r.random() for _ in range(400))], "one": [5.0], "two": [1.0, 2.0]}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("many", None), ("none", None)], "g string, v double")
+    shares = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = {x.g: x.ends for x in metrics.quantiles(rows, ["g"], "v", shares).collect()}
+    assert got.keys() == groups.keys()
+    for g, vs in groups.items():
+        assert got[g] == pytest.approx(list(np.quantile(vs, shares)), rel=1e-12)
+    assert " percentile(" not in metrics.trimmed(rows, ["g"], "v")._jdf.queryExecution().analyzed().toString()  # that holds all distinct values of a group
+
+
+def test_entities_are_dealt_before_they_are_scored(spark):
+    from tessera.plans import catalog
+
+    plan = catalog.QUERIES["all_model_rollup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(entity_id") == 1 and plan.index("Generate explode") < plan.index("Exchange hashpartitioning")  # printed from the last step down
+
+
+def test_candidate_units_are_sent_once_by_entity(spark):
+    from tessera.plans import catalog_sets
+
+    plan = catalog_sets._candidate_units(spark, "/root/testdata/sf0.001")[1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
